@@ -15,6 +15,7 @@ from tallywing.model import Warehouse
 from tallywing.operators.common import scalar, with_employee
 from tallywing.operators.ranking import quantiles
 from tallywing.operators.stats import standardize
+from tallywing.session import materialize
 
 USAGE_FEATURES = ["sessions", "api_calls", "total_cost", "avg_turns", "avg_duration", "errors"]
 
@@ -55,7 +56,7 @@ def _grow(points: np.ndarray, rng: np.random.Generator, tree: int) -> pd.DataFra
         if depth >= limit or len(rows) <= 1 or not len(varying):
             nodes.append([tree, node, -1, 0.0, -1, -1, len(rows)])
             continue
-        feature = int(rng.choice(varying))
+        feature = int(varying[rng.integers(len(varying))])
         cut = float(rng.uniform(low[feature], high[feature]))
         below = rows[:, feature] <= cut
         nodes.append([tree, node, feature, cut, len(waiting), len(waiting) + 1, len(rows)])
@@ -83,7 +84,9 @@ def grow_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 2
     rows = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("point"),
                      share.alias("share"))
     picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.col("share"))
-    drawn = rows.select(key, "point", F.explode(picks).alias("tree"))
+    # An explicit number of partitions: trees are grown in parallel although the rows are few.
+    slots = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    drawn = rows.select(key, "point", F.explode(picks).alias("tree")).repartition(slots, "tree")
     entry = F.struct(draw(F.col("tree")).alias("draw"), key, "point")
     # At most some 600 rows meet per tree.
     bags = drawn.groupBy("tree").agg(
@@ -134,8 +137,10 @@ def flag_anomalies(scored: DataFrame, contamination: float = 0.1,
                    score: str = "anomaly_score") -> DataFrame:
     """Label the lowest ``contamination`` share −1 and grade −score into three equal bands."""
     cut = quantiles(scored, score, {"cut": contamination}, width=1e-3).scalar()
-    low, high = scalar(scored, F.min(score)), scalar(scored, F.max(score))
-    rows = scored.withColumns({"_cut": cut, "_low": low, "_third": (high - low) / 3})
+    ends = scalar(scored, F.struct(F.min(score).alias("low"), F.max(score).alias("high")))
+    rows = scored.withColumns({"_cut": cut, "_ends": ends}).select(
+        *scored.columns, "_cut", F.col("_ends.low").alias("_low"),
+        ((F.col("_ends.high") - F.col("_ends.low")) / 3).alias("_third"))
     odd = F.col(score) < F.col("_cut")
     severity = (F.when(F.col(score) >= F.col("_low") + 2 * F.col("_third"), "Low")
                 .when(F.col(score) >= F.col("_low") + F.col("_third"), "Medium").otherwise("High"))
@@ -150,14 +155,14 @@ def detect_user_anomalies(wh: Warehouse, trees: int = 200, sample: int = 256,
 
     The node table, bounded by ``trees · 2·sample`` rows, is the only thing collected.
     """
-    users = user_usage_features(wh)
+    users = materialize(user_usage_features(wh), "usage")
     scaled = standardize(users.na.fill(0, USAGE_FEATURES), USAGE_FEATURES)
     names = [f"{c}_z" for c in USAGE_FEATURES]
     nodes = grow_forest(scaled, "user_email", names, trees, sample, seed).toPandas()
     if nodes.empty:
         raise ValueError("no users to score")
-    flagged = flag_anomalies(score_rows(scaled, names, nodes), contamination)
-    return with_employee(flagged.drop(*names), wh, "practice", "level", "full_name",
+    scored = materialize(score_rows(scaled, names, nodes).drop(*names), "scores")
+    return with_employee(flag_anomalies(scored, contamination), wh, "practice", "level", "full_name",
                          how="left").orderBy("anomaly_score", "user_email")
 
 

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from tallywing.functions.numeric import rounded
 from tallywing.model import SEGMENT_LABELS, Warehouse
 from tallywing.operators.people import user_engagement_scores
+from tallywing.session import materialize
 
 FEATURES = ["sessions", "avg_turns", "total_cost", "distinct_tools"]
 
 
 def best_kmeans(features: DataFrame, k: int, restarts: int, seed: int,
-                parallelism: int = 4) -> KMeansModel:
+                parallelism: int = 8) -> KMeansModel:
     """The fit of lowest cost out of ``restarts``; several fits share the cluster."""
     def fit(i: int) -> KMeansModel:
         return KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster",
@@ -34,23 +35,22 @@ def cluster_users(wh: Warehouse, k: int = 4, restarts: int = 20, seed: int = 42,
     """Engagement rows with cluster number, label and distance to the centroid.
 
     Labels follow descending mean cost. The distance is in the units of the features.
-    Users are spread by key and sorted before the fit, so a seed gives the same segments
-    on any layout of the input. Only k centroids reach the driver.
+    The rows are stored in order before the fit, so a seed gives the same segments on any
+    layout of the input. Only k centroids reach the driver.
     """
-    users = user_engagement_scores(wh, fanout=fanout)
+    users = materialize(user_engagement_scores(wh, fanout=fanout), "engagement")
     points = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(
         users.na.fill(0, FEATURES))
-    spread = points.repartitionByRange("user_email").sortWithinPartitions("user_email").persist()
+    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True,
+                            withStd=True).fit(points)
+    scaled = scaler.transform(points).persist()
     try:
-        scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True,
-                                withStd=True).fit(spread)
-        scaled = scaler.transform(spread)
         model = best_kmeans(scaled, k, restarts, seed)
-        placed = model.transform(scaled)
+        placed = model.transform(scaler.transform(points))
         costs = {row["cluster"]: row["cost"] for row in placed.groupBy("cluster").agg(
             F.avg("total_cost").alias("cost")).collect()}
     finally:
-        spread.unpersist()
+        scaled.unpersist()
     centres = [[z * s + m for z, s, m in zip(c, scaler.std, scaler.mean)]
                for c in model.clusterCenters()]
     ranked = sorted(costs, key=lambda c: (-costs[c], c))

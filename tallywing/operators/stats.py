@@ -18,7 +18,9 @@ def _with_aggregates(df: DataFrame, aggregates: dict[str, Column],
                      keys: Sequence[str]) -> DataFrame:
     """Append group aggregates: scalar subqueries for the whole frame, a join per key."""
     if not keys:
-        return df.withColumns({n: df.agg(a).scalar() for n, a in aggregates.items()})
+        whole = df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()])).scalar()
+        return df.withColumn("_whole", whole).select(
+            *df.columns, *[F.col(f"_whole.{n}") for n in aggregates])
     side = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
     return df.join(side, list(keys))
 
@@ -63,8 +65,10 @@ def histogram(df: DataFrame, column: str, nbins: int, by: Sequence[str] = ()) ->
     """
     v = F.col(column).cast("double")
     rows = df.where(v.isNotNull()).select(*by, v.alias("_v"))
-    low, high = rows.agg(F.min("_v")).scalar(), rows.agg(F.max("_v")).scalar()
-    placed = rows.withColumns({"_low": low, "_step": (high - low) / nbins})
+    ends = rows.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+    placed = rows.withColumn("_ends", ends).select(
+        *by, "_v", F.col("_ends.low").alias("_low"),
+        ((F.col("_ends.high") - F.col("_ends.low")) / nbins).alias("_step"))
     number = F.when(F.col("_step") > 0, F.least(
         F.lit(nbins), F.floor((F.col("_v") - F.col("_low")) / F.col("_step")) + 1)).otherwise(1)
     counted = placed.groupBy(*by, number.cast("int").alias("bin"), "_low", "_step").agg(

@@ -6,9 +6,12 @@ builds the Warehouse from it, and each oracle query starts with it.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywing.model import Warehouse
+from tallywing.model import TABLES
 from tallywing.operators.sessions import build_sessions
 
 # Weeks are stretched per user (each week, every second, every third) and shifted by up
@@ -25,7 +28,7 @@ _CTES = {
                concat('s', CAST(user_id AS string), '-',
                       CAST(CAST(ts AS date) AS string)) AS session_id,
                concat('user', CAST(user_id AS string), '@example.com') AS user_email
-        FROM ev""",
+        FROM {ev}""",
     # Customers in arrears are missing from the directory, so their users are orphans.
     "employees": """
         SELECT concat('user', CAST(c.c_custkey AS string), '@example.com') AS email,
@@ -42,7 +45,7 @@ _CTES = {
                CASE WHEN event_id % 997 = 0 THEN 'zz-shared@example.com'
                     ELSE user_email END AS user_email,
                ts AS "timestamp", CAST(1 + event_id * 131 % 4000 AS bigint) AS prompt_length
-        FROM base WHERE event_type <> 'error'""",
+        FROM {base} WHERE event_type <> 'error'""",
     "request_rows": """
         SELECT event_id AS id, session_id, user_email, ts + INTERVAL '2' SECOND AS "timestamp",
                concat('model-', CAST(event_id % 5 AS string)) AS model,
@@ -52,21 +55,21 @@ _CTES = {
                event_id * 31 % 5000 AS cache_creation_tokens,
                CAST(value AS decimal(18,6)) AS cost_usd,
                100 + event_id * 97 % 12000 AS duration_ms
-        FROM base WHERE event_type <> 'signup'""",
+        FROM {base} WHERE event_type <> 'signup'""",
     # Expensive requests are logged twice.
     "request_log": """
-        SELECT * FROM request_rows
+        SELECT * FROM {request_rows}
         UNION ALL
         SELECT id + 1000000000, session_id, user_email, "timestamp", model, input_tokens,
                output_tokens, cache_read_tokens, cache_creation_tokens, cost_usd, duration_ms
-        FROM request_rows WHERE cost_usd > 200""",
+        FROM {request_rows} WHERE cost_usd > 200""",
     "api_requests": """
         SELECT id, session_id, user_email, "timestamp", model, input_tokens, output_tokens,
                cache_read_tokens, cache_creation_tokens,
                input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens
                  AS total_tokens,
                cost_usd, duration_ms
-        FROM request_log""",
+        FROM {request_log}""",
     "tool_decisions": """
         SELECT 2 * event_id AS id, session_id, user_email,
                ts + INTERVAL '9' SECOND AS "timestamp", 'decision' AS event_type,
@@ -76,16 +79,16 @@ _CTES = {
                     WHEN event_id % 7 = 0 THEN 'user_temporary' ELSE 'config' END AS source,
                CAST(NULL AS int) AS success, CAST(0 AS bigint) AS duration_ms,
                CAST(NULL AS bigint) AS result_size_bytes
-        FROM base WHERE event_type IN ('click', 'purchase', 'view')""",
+        FROM {base} WHERE event_type IN ('click', 'purchase', 'view')""",
     "tool_events": """
-        SELECT * FROM tool_decisions
+        SELECT * FROM {tool_decisions}
         UNION ALL
         SELECT id + 1, session_id, user_email, "timestamp" + INTERVAL '2' SECOND, 'result',
                tool_name, decision, source,
                CAST(CASE WHEN (id // 2) % 13 = 0 THEN 0 ELSE 1 END AS int),
                (id // 2) * 61 % 9000,
                CASE WHEN (id // 2) % 3 = 0 THEN (id // 2) * 17 % 50000 END
-        FROM tool_decisions WHERE decision = 'accept'""",
+        FROM {tool_decisions} WHERE decision = 'accept'""",
     "api_errors": """
         SELECT event_id AS id, session_id, user_email, ts + INTERVAL '5' SECOND AS "timestamp",
                concat('error ', CAST(event_id % 8 AS string)) AS error_msg,
@@ -94,7 +97,7 @@ _CTES = {
                CASE WHEN event_id % 19 = 0 THEN ''
                     ELSE concat('model-', CAST(event_id % 5 AS string)) END AS model,
                1 + event_id % 3 AS attempt, 50 + event_id * 13 % 2000 AS duration_ms
-        FROM base WHERE event_type = 'error'""",
+        FROM {base} WHERE event_type = 'error'""",
 }
 
 # For the oracle only: Spark builds sessions with the operator under test.
@@ -123,45 +126,46 @@ _SESSIONS = """
         WHERE g.rn = 1"""
 
 SOURCES = ["events", "customer", "nation", "region"]
-
-
-def _chain(names: list[str], **places: str) -> str:
-    ctes = {**_CTES, "sessions": _SESSIONS}
-    parts = []
-    for name in names:
-        text = ctes[name]
-        for place, value in places.items():
-            text = text.replace("{" + place + "}", value)
-        parts.append(f"{name} AS ({text})")
-    return "WITH " + ",\n".join(parts)
+_REFERENCE = re.compile(r"\{(\w+)\}")
 
 
 def oracle(body: str) -> str:
     """``body`` behind the fixture CTEs, for DuckDB."""
-    head = _chain([*_CTES, "sessions"], ntz="timestamp", **{s: s for s in SOURCES})
+    places = {"ntz": "timestamp"}
+    ctes = [f"{name} AS ({_REFERENCE.sub(lambda m: places.get(m[1], m[1]), text)})"
+            for name, text in {**_CTES, "sessions": _SESSIONS}.items()]
+    head, text = "WITH " + ",\n".join(ctes), body.strip()
     # A body may bring CTEs of its own.
-    text = body.strip()
-    if text.upper().startswith("WITH "):
-        return f"{head},\n{text[5:]}"
-    return f"{head}\n{text}"
+    return f"{head},\n{text[5:]}" if text.upper().startswith("WITH ") else f"{head}\n{text}"
+
+
+class DerivedWarehouse:
+    """A Warehouse whose tables are derived from the given files when first asked for.
 
+    ``replace`` puts other frames, such as streams, in the place of given tables.
+    """
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES}
+    def __init__(self, spark: SparkSession, sf_dir: str, **replace: DataFrame) -> None:
+        self._spark, self._dir, self._known = spark, sf_dir, dict(replace)
 
+    def _frame(self, name: str) -> DataFrame:
+        if name not in self._known:
+            self._known[name] = self._build(name)
+        return self._known[name]
 
-def fixture_table(spark: SparkSession, tables: dict[str, DataFrame], name: str) -> DataFrame:
-    """One derived table as a Spark frame; unused CTEs are never planned."""
-    text = _chain(list(_CTES), ntz="timestamp_ntz").replace('"timestamp"', "`timestamp`")
-    text = text.replace("(id // 2)", "(id div 2)")
-    return spark.sql(f"{text} SELECT * FROM {name}", **tables)
+    def _build(self, name: str) -> DataFrame:
+        if name in SOURCES:
+            return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        if name == "sessions":
+            return build_sessions(self.api_requests, self.user_prompts, self.tool_events)
+        text = _CTES[name].replace("{ntz}", "timestamp_ntz").replace(
+            '"timestamp"', "`timestamp`").replace("(id // 2)", "(id div 2)")
+        return self._spark.sql(text, **{n: self._frame(n) for n in _REFERENCE.findall(text)})
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        return self._frame(name)
 
-def warehouse(spark: SparkSession, sf_dir: str,
-              tables: dict[str, DataFrame] | None = None) -> Warehouse:
-    tables = tables or sources(spark, sf_dir)
-    derived = {n: fixture_table(spark, tables, n) for n in (
-        "employees", "api_requests", "tool_events", "user_prompts", "api_errors")}
-    sessions = build_sessions(derived["api_requests"], derived["user_prompts"],
-                              derived["tool_events"])
-    return Warehouse(sessions=sessions, **derived)
+    def items(self) -> Iterator[tuple[str, DataFrame]]:
+        return ((name, self._frame(name)) for name in TABLES)

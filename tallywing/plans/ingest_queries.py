@@ -186,9 +186,10 @@ CASES.add("ingest_stream", _ingest_stream, f"""
 
 def _streamed(i: Inputs, table: str) -> DataFrame:
     """A derived table over ``events`` read as a stream."""
-    rows = i.spark.readStream.schema(i.tables["events"].schema).option(
+    events = i.parquet("events")
+    rows = i.spark.readStream.schema(events.schema).option(
         "pathGlobFilter", "events.parquet").parquet(i.sf_dir)
-    return fixtures.fixture_table(i.spark, {**i.tables, "events": rows}, table)
+    return getattr(fixtures.DerivedWarehouse(i.spark, i.sf_dir, events=rows), table)
 
 
 def _stream_dedupe(i: Inputs) -> DataFrame:

@@ -8,7 +8,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywing.model import Warehouse
 from tallywing.plans import fixtures
 
 
@@ -20,12 +19,8 @@ class Inputs:
     sf_dir: str
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        return fixtures.sources(self.spark, self.sf_dir)
-
-    @cached_property
-    def wh(self) -> Warehouse:
-        return fixtures.warehouse(self.spark, self.sf_dir, self.tables)
+    def wh(self) -> fixtures.DerivedWarehouse:
+        return fixtures.DerivedWarehouse(self.spark, self.sf_dir)
 
     def parquet(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spark_session(app: str = "tallywing", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not shared:
         return tempfile.mkdtemp(prefix=f"tallywing-{name}-")
     return f"{shared.rstrip('/')}/tallywing-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to shared storage and read it back.
+
+    For results that several later steps read, or that an iterative fit reads many
+    times: the table outlives lost executors and has no lineage to recompute.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
