@@ -133,7 +133,11 @@ def top_engaged(wh: Warehouse, limit: int = 15) -> DataFrame:
 
 
 def user_activity_profiles(wh: Warehouse) -> DataFrame:
-    """Peak hour (the smallest of equal ones) and shares of late, early, weekend starts."""
+    """Peak hour (the smallest of equal ones) and shares of late, early, weekend starts.
+
+    Count and hour are packed into one number for the maximum, which keeps the
+    aggregation hash-based.
+    """
     slots = wh.sessions.groupBy(
         "user_email", F.hour("start_time").alias("hour"),
         weekday_sunday0(F.col("start_time")).isin(0, 6).alias("weekend"),
@@ -147,7 +151,7 @@ def user_activity_profiles(wh: Warehouse) -> DataFrame:
 
     users = hours.groupBy("user_email").agg(
         n.alias("sessions"),
-        F.max_by("hour", F.struct("n", -F.col("hour"))).alias("peak_hour"),
+        (23 - F.max(F.col("n") * 24 + 23 - F.col("hour")) % 24).cast("int").alias("peak_hour"),
         share(F.col("hour") >= 20).alias("night_owl_score"),
         share(F.col("hour") < 8).alias("early_bird_score"),
         pct(F.sum("weekend"), n).alias("weekend_score"))

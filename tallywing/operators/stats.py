@@ -12,6 +12,17 @@ from tallywing.functions.special import f_pvalue
 from tallywing.model import Warehouse
 from tallywing.operators.common import with_employee
 from tallywing.operators.ranking import average_ranks, quantiles
+from tallywing.session import materialize
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """Store one-row-per-group results that row-level data will be joined to.
+
+    The size of a stored table is known when the join is planned: below Spark's
+    broadcast threshold the rows stay where they are, however unevenly the groups are
+    filled; above it the join is shuffled as usual.
+    """
+    return materialize(groups, "groups")
 
 
 def _with_aggregates(df: DataFrame, aggregates: dict[str, Column],
@@ -21,7 +32,7 @@ def _with_aggregates(df: DataFrame, aggregates: dict[str, Column],
         whole = df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()])).scalar()
         return df.withColumn("_whole", whole).select(
             *df.columns, *[F.col(f"_whole.{n}") for n in aggregates])
-    side = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    side = sized(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]))
     return df.join(side, list(keys))
 
 
@@ -93,7 +104,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str], width: float | None
     v = F.col(column).cast("double")
     beyond = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
     parts = ["q1", "median", "q3", "lower_fence", "upper_fence"]
-    rows = counts.join(fenced, list(by)).groupBy(*by).agg(
+    rows = counts.join(sized(fenced), list(by)).groupBy(*by).agg(
         F.sum("_n").alias("n"),
         rounded(F.min(v), digits).alias("min"),
         *[rounded(F.max(p), digits).alias(p) for p in parts],
@@ -161,7 +172,7 @@ def spearman(df: DataFrame, x: str, y: str, x_width: float | None = None,
         return ranks.select(F.col("value").alias(column),
                             (F.col("rank") - (F.col("total") + 1) / 2).alias(f"d{column}"))
 
-    both = pairs.join(centred("_x", x_width), "_x").join(centred("_y", y_width), "_y")
+    both = pairs.join(sized(centred("_x", x_width)), "_x").join(centred("_y", y_width), "_y")
     dx, dy, w = F.col("d_x"), F.col("d_y"), F.col("w").cast("double")
     return both.agg(
         F.when(F.sum("w") >= 3, F.try_divide(

@@ -67,8 +67,10 @@ def load_warehouse(spark: SparkSession, events_path: str, employees_path: str, r
     events = parse_events(lines).observe(
         loaded, *[F.count_if(F.col("kind") == k).alias(k) for k in kinds],
         F.count(F.lit(1)).alias("total"))
-    typed_events(events).write.mode("overwrite").partitionBy("kind", "date").parquet(
-        f"{root}/events")
+    # Rebalancing gives each folder few files of even size and splits a day that is much
+    # larger than the others.
+    typed_events(events).hint("rebalance", "kind", "date").write.mode("overwrite").partitionBy(
+        "kind", "date").parquet(f"{root}/events")
     employees.write.mode("overwrite").parquet(f"{root}/employees")
     tables = event_tables(spark.read.parquet(f"{root}/events"))
     build_sessions(tables["api_requests"], tables["user_prompts"], tables["tool_events"]
