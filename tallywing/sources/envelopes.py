@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywing.functions.coerce import as_flag, as_float, as_int
+from tallywing.functions.coerce import as_flag, as_float, as_int, as_whole
 from tallywing.functions.timeparts import utc_timestamp
 from tallywing.model import CORRUPT, ENVELOPE, EVENT_KINDS, MESSAGE, UNKNOWN_KIND, Warehouse
 from tallywing.operators.common import stack
@@ -19,25 +21,37 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def _parsed(text: Column, schema: T.StructType) -> Column:
-    """The object in ``text``, or null where it is not one whole JSON object."""
+def _parse(rows: DataFrame, text: str, schema: T.StructType, output: str) -> DataFrame:
+    """Add ``output``, the object in column ``text`` or null where that is not one whole object.
+
+    The parser is the input of a generator. As a plain projection it would be copied into
+    every filter and field access above it, and each copy would parse the text again.
+    """
     guarded = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     found = F.from_json(text, guarded, {"columnNameOfCorruptRecord": CORRUPT})
+    parsed = rows.select("*", F.explode_outer(F.array(found)).alias("_found"))
     whole = F.startswith(F.ltrim(text), F.lit("{")) & F.endswith(F.rtrim(text), F.lit("}"))
-    return F.when(whole & found[CORRUPT].isNull(), found)
+    good = whole & F.col("_found").isNotNull() & F.col(f"_found.{CORRUPT}").isNull()
+    return parsed.withColumn(output, F.when(good, F.col("_found"))).drop("_found")
+
+
+def _only(schema: T.StructType, *names: str) -> T.StructType:
+    return T.StructType([schema[n] for n in names])
 
 
 def _envelopes(lines: DataFrame) -> DataFrame:
     blank = F.trim(F.col("value"), F.lit(" \t\r\n")) == ""
-    return lines.where(~blank).select("value", _parsed(F.col("value"), ENVELOPE).alias("envelope"))
+    return _parse(lines.where(~blank).select("value"), "value", _only(ENVELOPE, "logEvents"),
+                  "envelope")
 
 
 def _messages(lines: DataFrame) -> DataFrame:
-    entries = _envelopes(lines).select(F.explode("envelope.logEvents").alias("entry"))
-    text = F.coalesce(F.col("entry.message"), F.lit("{}"))
-    return entries.select(
-        F.col("entry.id").alias("log_id"), F.col("entry.timestamp").alias("log_time"),
-        text.alias("message"), _parsed(text, MESSAGE).alias("event"))
+    entries = _envelopes(lines).select(
+        F.explode_outer("envelope.logEvents").alias("entry")).where(F.col("entry").isNotNull())
+    texts = entries.select(F.col("entry.id").alias("log_id"),
+                           F.col("entry.timestamp").alias("log_time"),
+                           F.coalesce(F.col("entry.message"), F.lit("{}")).alias("message"))
+    return _parse(texts, "message", _only(MESSAGE, "body", "attributes"), "event")
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
@@ -71,46 +85,70 @@ def ingest_report(events: DataFrame) -> DataFrame:
         F.desc("events"), "kind")
 
 
-def _attr(name: str, default: str = "") -> Column:
-    return F.coalesce(F.col("attributes")[name], F.lit(default))
+# --- fixed values: attribute names in log messages ---
+WHOLE_NUMBERS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens",
+                 "duration_ms", "tool_result_size_bytes", "prompt_length", "attempt"]
+TEXTS = ["session.id", "user.email", "event.timestamp", "model", "tool_name", "decision", "source",
+         "decision_type", "decision_source", "success", "tool_result_size_bytes", "error",
+         "status_code"]
+# --- end of fixed values ---
+
+
+def _raw(name: str) -> Column:
+    return F.col("attributes")[name]
 
 
-def _number(name: str, default: int = 0) -> Column:
-    return as_int(F.col("attributes")[name], default)
+def _whole(name: str) -> Column:
+    return as_whole(_raw(name))
 
 
-def table_columns(kind: str) -> dict[str, Column]:
-    """Typed columns of an event of ``kind``, by name."""
-    null_long = F.lit(None).cast("bigint")
-    common = {"session_id": _attr("session.id"), "user_email": _attr("user.email"),
-              "timestamp": utc_timestamp(F.col("attributes")["event.timestamp"])}
+def _real(value: Column) -> Column:
+    return as_float(F.coalesce(value, F.lit("0")))
+
+
+def table_columns(kind: str, raw: Callable[[str], Column] = _raw,
+                  whole: Callable[[str], Column] = _whole,
+                  real: Callable[[str], Column] = lambda n: _real(_raw(n))) -> dict[str, Column]:
+    """Typed columns of an event of ``kind``, by name.
+
+    ``raw``, ``whole`` and ``real`` read an attribute as text, as whole number (null if
+    absent) and as double (0 if absent).
+    """
+    def text(name: str, default: str = "") -> Column:
+        return F.coalesce(raw(name), F.lit(default))
+
+    def number(name: str, default: int = 0) -> Column:
+        return F.coalesce(whole(name), F.lit(default).cast("bigint"))
+
+    common = {"session_id": text("session.id"), "user_email": text("user.email"),
+              "timestamp": utc_timestamp(raw("event.timestamp"))}
     if kind == "api_request":
-        tokens = {f"{t}_tokens": _number(f"{t}_tokens")
+        tokens = {f"{t}_tokens": number(f"{t}_tokens")
                   for t in ("input", "output", "cache_read", "cache_creation")}
-        return common | {"model": _attr("model", "unknown")} | tokens | {
+        return common | {"model": text("model", "unknown")} | tokens | {
             "total_tokens": sum(tokens.values(), F.lit(0).cast("bigint")),
-            "cost_usd": as_float(F.coalesce(F.col("attributes")["cost_usd"], F.lit("0"))),
-            "duration_ms": _number("duration_ms")}
+            "cost_usd": real("cost_usd"),
+            "duration_ms": number("duration_ms")}
     if kind == "tool_decision":
         return common | {
-            "event_type": F.lit("decision"), "tool_name": _attr("tool_name"),
-            "decision": _attr("decision"), "source": _attr("source"),
+            "event_type": F.lit("decision"), "tool_name": text("tool_name"),
+            "decision": text("decision"), "source": text("source"),
             "success": F.lit(None).cast("int"), "duration_ms": F.lit(0).cast("bigint"),
-            "result_size_bytes": null_long}
+            "result_size_bytes": F.lit(None).cast("bigint")}
     if kind == "tool_result":
-        size = _attr("tool_result_size_bytes")
         return common | {
-            "event_type": F.lit("result"), "tool_name": _attr("tool_name"),
-            "decision": _attr("decision_type"), "source": _attr("decision_source"),
-            "success": as_flag(_attr("success", "true")), "duration_ms": _number("duration_ms"),
-            "result_size_bytes": F.when(size != "", as_int(size))}
+            "event_type": F.lit("result"), "tool_name": text("tool_name"),
+            "decision": text("decision_type"), "source": text("decision_source"),
+            "success": as_flag(text("success", "true")), "duration_ms": number("duration_ms"),
+            "result_size_bytes": F.when(text("tool_result_size_bytes") != "",
+                                        number("tool_result_size_bytes"))}
     if kind == "user_prompt":
-        return common | {"prompt_length": _number("prompt_length")}
+        return common | {"prompt_length": number("prompt_length")}
     if kind == "api_error":
         return common | {
-            "error_msg": _attr("error"), "status_code": _attr("status_code"),
-            "model": _attr("model"), "attempt": _number("attempt", 1),
-            "duration_ms": _number("duration_ms")}
+            "error_msg": text("error"), "status_code": text("status_code"),
+            "model": text("model"), "attempt": number("attempt", 1),
+            "duration_ms": number("duration_ms")}
     raise ValueError(f"no table for events of kind {kind!r}")
 
 
@@ -136,21 +174,31 @@ def typed_events(events: DataFrame) -> DataFrame:
     """Every known event once, with the typed columns of all tables, ``kind`` and ``date``.
 
     One narrow pass: a load parses each line once and shuffles nothing. Columns that do
-    not belong to a kind are null and cost next to nothing in a columnar file. Works on
-    streams.
+    not belong to a kind are null and cost next to nothing in a columnar file. Attributes
+    are read by small lambdas over arrays of names; spelled out per kind and column
+    the generated method would outgrow what the JVM compiles. Works on streams.
     """
-    by_kind = {kind: table_columns(kind) for kind in EVENT_KINDS.values()}
-    names = dict.fromkeys(n for columns in by_kind.values() for n in columns)
+    def found(names: list[str]) -> Column:
+        return F.transform(F.array(*[F.lit(n) for n in names]), lambda n: _raw(n))
+
+    known = events.where(F.col("kind") != UNKNOWN_KIND).select(
+        "kind", found(TEXTS).alias("_texts"),
+        F.transform(found(WHOLE_NUMBERS), as_whole).alias("_numbers"),
+        F.transform(found(["cost_usd"]), _real).alias("_reals"))
+    by_kind = {kind: table_columns(
+        kind, lambda n: F.col("_texts")[TEXTS.index(n)],
+        lambda n: F.col("_numbers")[WHOLE_NUMBERS.index(n)],
+        lambda _: F.col("_reals")[0]) for kind in EVENT_KINDS.values()}
+    shared = ["session_id", "user_email", "timestamp"]
+    others = dict.fromkeys(n for c in by_kind.values() for n in c if n not in shared)
 
     def column(name: str) -> Column:
-        choices = {k: c[name] for k, c in by_kind.items() if name in c}
-        if len(choices) == len(by_kind) and name in ("session_id", "user_email", "timestamp"):
-            return next(iter(choices.values())).alias(name)
-        return F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in choices.items()]).alias(name)
-
-    return (events.where(F.col("kind") != UNKNOWN_KIND)
-            .select("kind", *[column(n) for n in names])
-            .withColumn("date", F.to_date("timestamp")))
+        return F.coalesce(*[F.when(F.col("kind") == kind, columns[name])
+                            for kind, columns in by_kind.items() if name in columns]).alias(name)
+
+    return known.select("kind", *[by_kind["user_prompt"][n].alias(n) for n in shared],
+                        *[column(n) for n in others]
+                        ).withColumn("date", F.to_date("timestamp"))
 
 
 # --- packing ----------------------------------------------------------------------
