@@ -155,8 +155,9 @@ _TABLE_COUNTS = " UNION ALL ".join(
 
 
 def _load(i: Inputs):
-    root = work_dir(i.spark, "warehouse")
-    return warehouse.load_warehouse(i.spark, _envelope_files(i), _employee_csv(i), root)[0]
+    root, logs = work_dir(i.spark, "warehouse"), work_dir(i.spark, "logs")
+    _lines(i).write.text(logs)
+    return warehouse.load_warehouse(i.spark, logs, _employee_csv(i), root)[0]
 
 
 CASES.add("load_warehouse", lambda i: stack(

@@ -156,7 +156,34 @@ CASES.add("cost_anova_by_practice",
           lambda i: stats.cost_anova_by_practice(i.wh).drop("p_value", "significant"),
           _anova_sql(f"SELECT e.practice AS grp, s.total_cost_usd::double AS v FROM sessions s "
                      f"{EMP('s')} WHERE s.total_cost_usd > 0"))
-CASES.add("cost_anova_significance", lambda i: stats.cost_anova_by_practice(i.wh))
+
+
+def _tail_sql(stat: str) -> str:
+    """P(F > f) of a row (f, df1, df2), by Simpson's rule on the incomplete beta integral.
+
+    With t = x·exp(−v²/a) the integral is x^a / a · ∫ 2v exp(−v²) (1 − x·exp(−v²/a))^(b−1) dv,
+    which is smooth also for one numerator degree of freedom and a small f.
+    """
+    return f"""
+    st AS ({stat}),
+    c AS (SELECT *, df2::double / 2 AS a, df1::double / 2 AS b, df2 / (df2 + df1 * f) AS x FROM st),
+    v AS (SELECT i * 0.0002::double AS v, i * 0.0002::double * i * 0.0002::double AS vv,
+                 CASE WHEN i IN (0, 32000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w
+          FROM range(0, 32001) r(i)),
+    su AS (SELECT sum(w * 2 * v * exp(-vv) * power(1 - x * exp(-vv / a), b - 1)) * 0.0002 / 3
+             AS area FROM c, v),
+    tail AS (SELECT c.*, su.area / a * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x)) AS p
+             FROM c, su)"""
+
+
+_ANOVA = _anova_sql(f"SELECT e.practice AS grp, s.total_cost_usd::double AS v FROM sessions s "
+                    f"{EMP('s')} WHERE s.total_cost_usd > 0")
+_EXACT_F = _ANOVA.replace(R("(b / (k - 1)) / (w / (n - k))", 4), "(b / (k - 1)) / (w / (n - k))")
+CASES.add("cost_anova_significance", lambda i: stats.cost_anova_by_practice(i.wh), f"""
+    WITH {_tail_sql("SELECT f_statistic AS f, df_between AS df1, df_within AS df2 "
+                    f"FROM ({_EXACT_F})")}
+    SELECT {R("f", 4)} AS f_statistic, df1 AS df_between, df2 AS df_within,
+           {R("p", 6)} AS p_value, p < 0.05 AS significant FROM tail""")
 CASES.add("anova", lambda i: stats.anova(
     i.parquet("lineitem"), "l_linenumber", "l_extendedprice").select(
     F.round("f", 4).alias("f_statistic"), "df_between", "df_within"),
@@ -172,7 +199,12 @@ RANKS = f"""
 
 CASES.add("level_cost_correlation",
           lambda i: stats.level_cost_correlation(i.wh).drop("p_value", "significant"), RANKS)
-CASES.add("level_cost_significance", lambda i: stats.level_cost_correlation(i.wh))
+_EXACT_RHO = RANKS.replace(R("corr(ra, rb)", 4), "corr(ra, rb)")
+CASES.add("level_cost_significance", lambda i: stats.level_cost_correlation(i.wh), f"""
+    WITH {_tail_sql("SELECT *, spearman_rho ** 2 * (n - 2) / (1 - spearman_rho ** 2) AS f, "
+                    f"1 AS df1, n - 2 AS df2 FROM ({_EXACT_RHO})")}
+    SELECT {R("spearman_rho", 4)} AS spearman_rho, n, direction, {R("p", 6)} AS p_value,
+           p < 0.05 AS significant FROM tail""")
 
 CASES.add("session_duration_stats", lambda i: stats.session_duration_stats(i.wh), f"""
     WITH x AS (SELECT e.practice, s.duration_min AS d FROM sessions s {EMP("s")}
