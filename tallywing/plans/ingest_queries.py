@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.functions import coerce
-from tallywing.model import EMPLOYEE_FIELDS
+from tallywing.model import EMPLOYEE_FIELDS, EVENT_KINDS
 from tallywing.operators.common import stack
-from tallywing.operators.sessions import session_facts
+from tallywing.operators.sessions import build_sessions, session_facts
 from tallywing.plans import fixtures
 from tallywing.plans.registry import Catalogue, Inputs, R, S
 from tallywing.session import work_dir
@@ -44,6 +44,9 @@ ALL_EVENTS = " UNION ALL ".join(
     for kind, rows in _KIND_ROWS.items())
 
 
+_BODIES = " ".join(f"WHEN '{kind}' THEN '{body}'" for body, kind in EVENT_KINDS.items())
+
+
 def _ingest_envelopes(i: Inputs) -> DataFrame:
     return _events(i).select(
         "log_id", "log_time", "kind", "body",
@@ -53,7 +56,7 @@ def _ingest_envelopes(i: Inputs) -> DataFrame:
 
 CASES.add("ingest_envelopes", _ingest_envelopes, f"""
     SELECT concat(kind, '-', id::varchar) AS log_id, epoch_ms("timestamp") AS log_time, kind,
-           concat('claude_code.', kind) AS body, session_id, user_email FROM ({ALL_EVENTS})""")
+           CASE kind {_BODIES} END AS body, session_id, user_email FROM ({ALL_EVENTS})""")
 
 
 def _ingest_corrupt(i: Inputs) -> DataFrame:
@@ -185,6 +188,22 @@ CASES.add("ingest_stream", _ingest_stream, f"""
     FROM ({ALL_EVENTS}) GROUP BY kind""")
 
 
+def _stream_ingest(i: Inputs) -> DataFrame:
+    """Sessions rebuilt from what a stream has stored."""
+    logs, out, state = (work_dir(i.spark, n) for n in ("logs", "stream", "state"))
+    _lines(i).write.text(logs)
+    ingest.stream_ingest(ingest.read_line_stream(i.spark, logs), out, state).awaitTermination()
+    tables = warehouse.event_tables(i.spark.read.parquet(out))
+    sessions = build_sessions(tables["api_requests"], tables["user_prompts"],
+                              tables["tool_events"])
+    return sessions.withColumn("total_cost_usd", F.round("total_cost_usd", 6))
+
+
+CASES.add("stream_ingest", _stream_ingest,
+          "SELECT * REPLACE (round(CAST(total_cost_usd AS double), 6) AS total_cost_usd) "
+          "FROM sessions")
+
+
 def _streamed(i: Inputs, table: str) -> DataFrame:
     """A derived table over ``events`` read as a stream."""
     events = i.parquet("events")

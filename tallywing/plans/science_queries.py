@@ -272,6 +272,10 @@ PEAKS = """SELECT e.practice, p.hour AS peak_hour FROM (
         FROM sessions GROUP BY 1, 2) p
     LEFT JOIN employees e ON e.email = p.user_email WHERE rn = 1"""
 
+CASES.add("histogram", lambda i: _histogram(
+    i.parquet("lineitem"), "l_extendedprice", 30, ("l_returnflag",)),
+    plain=_histogram_sql("SELECT l_returnflag, l_extendedprice FROM lineitem", "l_extendedprice",
+                         30, "l_returnflag"))
 CASES.add("histogram_turns", lambda i: _histogram(
     people.session_depth_distribution(i.wh), "num_turns", 40),
     _histogram_sql(DEPTH, "num_turns", 40))
@@ -317,7 +321,7 @@ CASES.add("box_gaps", lambda i: stats.box_stats(
 CASES.add("box_prompt_lengths", lambda i: stats.box_stats(
     prompts.prompt_lengths_by_practice(i.wh), "prompt_length", ["practice"], width=64),
     _box_sql(LENGTHS, "prompt_length", "practice"))
-CASES.add("box_lineitem", lambda i: stats.box_stats(
+CASES.add("box_stats", lambda i: stats.box_stats(
     i.parquet("lineitem"), "l_extendedprice", ["l_returnflag"]),
     plain=_box_sql("SELECT l_returnflag, l_extendedprice FROM lineitem", "l_extendedprice",
                    "l_returnflag"))
