@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywing.functions.coerce import as_flag, as_float, as_int, as_whole
+from tallywing.functions.coerce import as_flag, as_float, as_whole
 from tallywing.functions.timeparts import utc_timestamp
 from tallywing.model import CORRUPT, ENVELOPE, EVENT_KINDS, MESSAGE, UNKNOWN_KIND, Warehouse
 from tallywing.operators.common import stack
