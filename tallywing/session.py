@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +30,41 @@ def spark_session(app: str = "tallywing", master: str | None = None, **conf: str
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the package to the Python workers, which load functions by module name."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(package)
+        archive = os.path.join(tempfile.mkdtemp(prefix="tallywing-code-"), "tallywing-code.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+        context.addPyFile(archive)
+    return spark
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate output.
 
-    It lies under the shared folder the cluster names in ``spark.checkpoint.dir``;
-    a machine-local folder is used only where that setting is absent (tests).
+    It lies under the shared folder the cluster names in ``spark.checkpoint.dir``. Where
+    that is unset, a machine-local folder serves a local master (tests); any other
+    master is refused, because executors would not see each other's files.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return tempfile.mkdtemp(prefix=f"tallywing-{name}-")
     return f"{shared.rstrip('/')}/tallywing-{name}-{uuid.uuid4().hex}"
 
