@@ -7,9 +7,9 @@ operator returns. ``ORACLES`` holds DuckDB SQL where SQL can express the result.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywing.llm import bitpack, packing
+from tallywing.llm import bitpack, neardup, packing
 from tallywing.session import work_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,11 +26,38 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = neardup.link_components(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return linked.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) = 1 THEN [w[1]]
+        ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT rep, n, unnest(s) AS x FROM classes),
+pairs AS (SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep
+          AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT rep AS node, rep AS seen FROM classes
+          UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+parts AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(p.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(p.component, d.doc_id) AS kept
+FROM shingled d LEFT JOIN classes c ON c.s = d.s LEFT JOIN parts p ON p.node = c.rep
+"""
+
+
 def op10_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-bits")
     bitpack.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER, 2, BYTE_VOCABULARY)
     return bitpack.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op10_token_bits)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_minhash_near_dedup, op10_token_bits)}
+ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7_SQL}

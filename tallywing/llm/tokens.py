@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f᠎​-‏⁠﻿]")
 #: Bytes that neither are control characters nor begin the code of other white space.
 _SAFE_BYTES = bytes(b for b in range(256) if b == 10 or (b >= 32 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF)))
-_REMEMBERED = 600_000
-_BATCH_CHARS = 12_000_000
+_REMEMBERED = 300_000
+_BATCH_CHARS = 3_000_000
 _JOINED = 500
 
 _encoders: dict[str, WordEncoder] = {}
