@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywing.llm import bitpack, neardup, packing
-from tallywing.session import work_dir
+from tallywing.llm import bitpack, decontam, neardup, packing, quality
+from tallywing.session import materialize, work_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,11 +53,24 @@ FROM shingled d LEFT JOIN classes c ON c.s = d.s LEFT JOIN parts p ON p.node = c
 """
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = materialize(quality.features_table(table(spark, sf_dir, "documents")), "features")
+    model = quality.learn(features, table(spark, sf_dir, "labels"))
+    scored = features.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                             quality.score_column(model, F.col("features")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op10_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-bits")
     bitpack.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER, 2, BYTE_VOCABULARY)
     return bitpack.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_minhash_near_dedup, op10_token_bits)}
+QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_minhash_near_dedup,
+                                  op8_benchmark_decontamination, op9_quality_additive, op10_token_bits)}
 ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7_SQL}
