@@ -7,9 +7,9 @@ operator returns. ``ORACLES`` holds DuckDB SQL where SQL can express the result.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywing.llm import bitpack, decontam, neardup, packing, quality
+from tallywing.llm import bitpack, chat, decontam, html, neardup, packing, pii, quality, urls
 from tallywing.session import materialize, work_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_consensus_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+
+
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([(r.split("/", 1)[0], "/" + r.split("/", 1)[1], r, v) for r, v in RULES],
+                                  "host string, path string, rule string, verdict string")
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, rules, urls.alias_links(pages))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = pii.all_spans(docs, pii.fit(docs))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
+                        pii.told(F.col("spans")).alias("spans"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -71,6 +107,8 @@ def op10_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_minhash_near_dedup,
-                                  op8_benchmark_decontamination, op9_quality_additive, op10_token_bits)}
+QUERIES = {f.__name__: f for f in (
+    op2_consensus_extraction, op3_chat_windows, op4_redirect_equivalence, op5_personal_data,
+    op6_best_fit_packing, op7_minhash_near_dedup, op8_benchmark_decontamination, op9_quality_additive,
+    op10_token_bits)}
 ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7_SQL}
