@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywing.llm import bitpack, chat, decontam, html, neardup, packing, pii, quality, urls
+from tallywing.llm import ann, bitpack, chat, decontam, html, neardup, packing, pii, quality, urls
 from tallywing.session import materialize, work_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_consensus_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -108,7 +112,7 @@ def op10_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_consensus_extraction, op3_chat_windows, op4_redirect_equivalence, op5_personal_data,
+    op1_permutation_index, op2_consensus_extraction, op3_chat_windows, op4_redirect_equivalence, op5_personal_data,
     op6_best_fit_packing, op7_minhash_near_dedup, op8_benchmark_decontamination, op9_quality_additive,
     op10_token_bits)}
 ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7_SQL}
