@@ -1,12 +1,44 @@
-"""The corpus pipeline: stages from raw documents to packed token sequences."""
+"""The corpus pipeline: from raw documents to packed token sequences.
+
+Each stage takes all that the one before it kept. Null and blank texts pass the stages that
+look for something in them and are judged by the quality classifier like any other text.
+Rows with an equal ``doc_id`` are one document: they stay or go together where a stage
+decides on documents (near-duplicates, decontamination), and a null ``doc_id`` stays there.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallywing.llm import decontam, neardup, packing, pii, quality
+from tallywing.llm.queries import WORD_TOKENIZER, table
+from tallywing.session import ship, work_dir
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the additive model does not reject."""
+    ship(spark)
+    model = quality.learn_from(docs, table(spark, sf_dir, "labels"))
+    score = quality.score_column(model, quality.feature_column(F.col("text")))
+    return docs.filter(score >= quality.THRESHOLD)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of every group whose five-word shingles are linked at 0.8."""
+    linked = neardup.link_components(docs, width=5, percent=80)
+    others = linked.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
 
-from tallywing.llm import packing
-from tallywing.llm.queries import WORD_TOKENIZER
-from tallywing.session import work_dir
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return pii.redact(docs, pii.fit(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,15 +46,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, WORD_TOKENIZER, end_id=1, with_ids=True)
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+STAGES = [("quality classifier", keep_quality), ("minhash near-dedup", drop_near_duplicates),
+          ("benchmark decontamination", drop_contaminated), ("personal data", redact_personal_data),
+          ("best-fit packing", pack_sequences)]
+#: Trained models and tokenizers are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each is stored and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        result = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return result
         path = work_dir(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        result.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -6,12 +6,12 @@ fixed for the bin and random over bins (optimal densification). Sketches are cut
 documents with an equal band share a bucket.
 
 Documents with the very same shingle set are one class, so copies never meet in a bucket.
-A bucket's pairs are bounded by stars: its members are compared with its least ones only, on
-full shingle sets, and links are merged into components. Members that are still in different
-components afterwards get further stars around members that were not yet a centre, twice as
-many in every round, until a bucket has one component or each member has been a centre. So
-no link between bucket members is lost, and pairs inside a family that is connected already
-are never made.
+A bucket's pairs are bounded by a star: its members are paired with its least one only and
+compared on full shingle sets; links are merged into components. Most buckets then hold one
+component and are done with. The members of each other bucket are brought together with
+their shingle sets, in blocks of bounded size, and compared across components in place: a pair
+in the first band it shares only, and no longer once a chain of links joins it. Only links
+leave that step, so no link between bucket members is lost and no pair is ever a row.
 
 With 48 bands of 6 bins, two sets with a similarity of 0.8 share no bucket once in two
 million pairs; more similar ones far less often.
@@ -24,13 +24,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywing.llm.components import connected_components
 from tallywing.llm.tokens import slices
 from tallywing.session import materialize
 
 BANDS, ROWS = 48, 6
+BLOCK = 1024
 _BATCH_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -157,23 +158,91 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(rows, "a bigint, b bigint").distinct()
 
 
-def _centres(buckets: DataFrame, number: int) -> DataFrame:
-    """The least members of every bucket; Spark keeps that many per bucket before it shuffles."""
-    order = Window.partitionBy("key").orderBy("member")
-    return buckets.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= number).select(
-        "key", F.col("member").alias("a"), F.col("component").alias("of_a"))
-
-
-def _star_pairs(buckets: DataFrame, centres: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of centres with later members of their buckets in other components."""
-    pairs = buckets.join(centres, "key").filter("member > a and component <> of_a") \
-        .select("a", F.col("member").alias("b")).distinct()
+def _star_pairs(buckets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every bucket's least member with the others, unless their sizes rule a link out."""
+    centres = buckets.groupBy("key").agg(F.min("member").alias("a"))
+    pairs = buckets.join(centres, "key").filter("member > a").select("a", F.col("member").alias("b")).distinct()
     of_a, of_b = (sizes.select(F.col("member").alias(x), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}"))
                   for x in "ab")
     return pairs.join(of_a, "a").join(of_b, "b").filter(
         100 * F.least("most_a", "most_b") >= percent * F.greatest("least_a", "least_b")).select("a", "b")
 
 
+def _links_inside(at: tuple[int, int, int], rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between members of one bucket block, or from one block to another, across components.
+
+    ``at``: the bucket's key and the two blocks; ``rows``: member, component, block, shingles, band keys."""
+    root: dict[int, int] = {r[1]: r[1] for r in rows}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sizes = np.asarray([len(x) for x in sets])
+    keys = np.stack([np.asarray(r[4], np.int64) for r in rows])
+    blocks = np.asarray([r[2] for r in rows])
+    band = int((keys[0] == at[0]).argmax())
+    links: list[tuple[int, int]] = []
+    for k in range(len(rows) - 1):
+        equal = keys[k + 1:] == keys[k]
+        fit = (equal.argmax(axis=1) == band) & equal[:, band]
+        low, high = np.minimum(sizes[k + 1:], sizes[k]), np.maximum(sizes[k + 1:], sizes[k])
+        fit &= 100 * low >= percent * high
+        if at[1] != at[2]:
+            fit &= blocks[k + 1:] != blocks[k]
+        for n in np.flatnonzero(fit) + k + 1:
+            here, there = find(rows[k][1]), find(rows[n][1])
+            if here != there:
+                common = len(np.intersect1d(sets[k], sets[n], assume_unique=True))
+                if 100 * common >= percent * (sizes[k] + sizes[n] - common):
+                    root[here] = there
+                    links.append((rows[k][0], rows[n][0]))
+    return links
+
+
+def _bucket_links(members: DataFrame, least: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across components inside the buckets ``members`` (key, member, component)."""
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [x.tobytes() for x in shingle_sets(batch["text"].tolist(), width)]
+            yield pd.DataFrame({"member": batch["doc_id"], "shingles": pd.Series(sets, dtype=object)})
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by group; a group may go on in the next batch.
+        group: list[tuple] = []
+        at = None
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for key, x, y, *row in batch.itertuples(index=False, name=None):
+                if (key, x, y) != at:
+                    if len(group) > 1:
+                        links += _links_inside(at, group, percent)
+                    group, at = [], (key, x, y)
+                group.append(tuple(row))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        if len(group) > 1:
+            yield pd.DataFrame(_links_inside(at, group, percent), columns=["a", "b"], dtype="int64")
+
+    names = members.select(F.col("member").alias("doc_id")).distinct()
+    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(names, "doc_id", "left_semi") \
+        .mapInPandas(shingled, "member bigint, shingles binary")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # A member of a large bucket goes to each pair of blocks that has its own.
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    spread = dealt.withColumn("pair", F.explode(F.transform(other, lambda j: F.struct(
+        F.least(F.col("block"), j).alias("x"), F.greatest(F.col("block"), j).alias("y")))))
+    kept = least.select("member", "keys")
+    full = spread.join(sets.join(kept, "member"), "member").select("key", "pair.x", "pair.y", "member", "component", "block",
+                                                                  "shingles", "keys")
+    return full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "member") \
+        .mapInPandas(compared, "a bigint, b bigint").distinct()
+
+
 def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable, itself included).
 
@@ -185,35 +254,28 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = stored.filter("digest is not null and doc_id is not null")
     classes = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("member")), "classes")
     # One row per class; the sketch of its least document.
-    least = sets.join(classes, "digest").filter("doc_id = member")
+    least = materialize(sets.join(classes, "digest").filter("doc_id = member").select("member", "n_shingles", "keys"), "least")
     sizes = least.groupBy("member").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     bands = least.select("member", F.explode("keys").alias("key")).distinct()
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = materialize(bands.join(shared, "key").withColumn("component", F.col("member")), "buckets")
+    buckets = materialize(bands.join(shared, "key"), "buckets")
     several = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     links = materialize(sets.join(several, "doc_id", "left_semi").join(classes, "digest").select(
         F.col("doc_id").alias("a"), F.col("member").alias("b")).filter("a <> b"), "links")
     parts = None if links.isEmpty() else connected_components(links)
-    number = 1
-    while not buckets.isEmpty():
-        centres = materialize(_centres(buckets, number), "centres")
-        pairs = materialize(_star_pairs(buckets, centres, sizes, percent), "pairs")
-        found = materialize(confirmed(pairs, docs, width, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
+    if not buckets.isEmpty():
+        pairs = materialize(_star_pairs(buckets, sizes, percent), "pairs")
+        links = links.union(materialize(confirmed(pairs, docs, width, percent), "links"))
+        parts = connected_components(links)
+        merged = buckets.join(parts.withColumnRenamed("node", "member"), "member", "left").select(
+            "key", "member", F.coalesce("component", "member").alias("component"))
+        still_open = merged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")) \
+            .filter("x <> y and n > 2").select("key")
+        rest = materialize(merged.join(still_open, "key"), "open-buckets")
+        more = materialize(_bucket_links(rest, least, docs, width, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
             parts = connected_components(links)
-        # Centres are done with. Buckets go on while what is left has several components.
-        last = centres.groupBy("key").agg(F.max("a").alias("last"))
-        rest = buckets.join(last, "key").filter("member > last").select("key", "member")
-        if parts is not None:
-            rest = rest.join(parts.withColumnRenamed("node", "member"), "member", "left").select(
-                "key", "member", F.coalesce("component", "member").alias("component"))
-        else:
-            rest = rest.withColumn("component", F.col("member"))
-        still_open = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
-            .filter("x <> y").select("key")
-        buckets = materialize(rest.join(still_open, "key"), "buckets")
-        number *= 2
     to_class = classes.select("digest", "member")
     out = stored.join(to_class, "digest", "left")
     if parts is None:

@@ -244,6 +244,15 @@ def learn(features: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS)
     return fit(x, np.asarray([r["y"] for r in rows], float))
 
 
+def learn_from(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Additive:
+    """Fits on at most ``max_rows`` labelled documents and makes features of those only."""
+    chosen = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")) \
+        .filter(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # At most max_rows numbers.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return learn(features_table(texts), labels, max_rows)
+
+
 def score_column(model: Additive, features: Column) -> Column:
     def rows(batch: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.asarray(batch.tolist(), np.float32).reshape(len(batch), len(FEATURES))))
