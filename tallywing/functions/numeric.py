@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Half-up rounding done on a decimal, so 1.005 gives 1.01; result is double."""
-    return F.round(value.cast("decimal(28,8)"), digits).cast("double")
+    """Half-up rounding done on a decimal, so 1.005 gives 1.01; result is double.
+
+    The decimal keeps 14 places, which also hides the last bits in which sums differ from
+    plan to plan. Values it cannot hold are rounded as they are.
+    """
+    exact = F.round(value.try_cast("decimal(38,14)"), digits).cast("double")
+    return F.coalesce(exact, F.round(value.cast("double"), digits))
 
 
 def mean(value: Column) -> Column:

@@ -33,7 +33,7 @@ ENVELOPE = T.StructType([
     T.StructField("subscriptionFilters", T.ArrayType(T.StringType())),
     T.StructField("logEvents", T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()),
-        T.StructField("timestamp", T.LongType()),
+        T.StructField("timestamp", T.StringType()),
         T.StructField("message", T.StringType()),
     ]))),
     T.StructField("year", T.IntegerType()),

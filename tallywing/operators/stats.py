@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,13 @@ def sized(groups: DataFrame) -> DataFrame:
     return materialize(groups, "groups")
 
 
+def with_groups(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the columns of its group, the group of null keys included."""
+    named = side.withColumnsRenamed({k: f"_key{n}" for n, k in enumerate(keys)})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])
+    return df.join(named, same).drop(*[f"_key{n}" for n in range(len(keys))])
+
+
 def _with_aggregates(df: DataFrame, aggregates: dict[str, Column],
                      keys: Sequence[str]) -> DataFrame:
     """Append group aggregates: scalar subqueries for the whole frame, a join per key."""
@@ -33,7 +42,7 @@ def _with_aggregates(df: DataFrame, aggregates: dict[str, Column],
         return df.withColumn("_whole", whole).select(
             *df.columns, *[F.col(f"_whole.{n}") for n in aggregates])
     side = sized(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]))
-    return df.join(side, list(keys))
+    return with_groups(df, side, keys)
 
 
 def minmax_normalize(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +113,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str], width: float | None
     v = F.col(column).cast("double")
     beyond = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
     parts = ["q1", "median", "q3", "lower_fence", "upper_fence"]
-    rows = counts.join(sized(fenced), list(by)).groupBy(*by).agg(
+    rows = with_groups(counts, sized(fenced), by).groupBy(*by).agg(
         F.sum("_n").alias("n"),
         rounded(F.min(v), digits).alias("min"),
         *[rounded(F.max(p), digits).alias(p) for p in parts],

@@ -101,29 +101,27 @@ _CTES = {
 }
 
 # For the oracle only: Spark builds sessions with the operator under test.
+# One row per fact with what it adds to a session, folded per user of the session first.
 _SESSIONS = """
-        SELECT g.session_id, g.user_email, g.start_time, g.end_time,
-               ((epoch_ms(g.end_time) - epoch_ms(g.start_time)) * 100 + 30000) // 60000
-                 / 100.0::double AS duration_min,
-               coalesce(p.turns, 0) AS num_turns,
-               coalesce(a.api_calls, 0) AS num_api_calls,
-               coalesce(t.tool_calls, 0) AS num_tool_calls,
-               coalesce(a.cost, 0) AS total_cost_usd,
-               CAST(coalesce(a.tokens, 0) AS bigint) AS total_tokens
-        FROM (SELECT session_id, user_email, min(ts) AS start_time, max(ts) AS end_time,
-                     row_number() OVER (PARTITION BY session_id ORDER BY user_email DESC) AS rn
-              FROM (SELECT session_id, user_email, "timestamp" AS ts FROM api_requests
-                    UNION ALL SELECT session_id, user_email, "timestamp" FROM user_prompts
-                    UNION ALL SELECT session_id, user_email, "timestamp" FROM tool_events)
-              GROUP BY session_id, user_email) g
-        LEFT JOIN (SELECT session_id, count(*) AS turns FROM user_prompts GROUP BY 1) p
-               ON p.session_id = g.session_id
-        LEFT JOIN (SELECT session_id, count(*) AS api_calls, sum(cost_usd) AS cost,
-                          sum(total_tokens) AS tokens FROM api_requests GROUP BY 1) a
-               ON a.session_id = g.session_id
-        LEFT JOIN (SELECT session_id, count(*) AS tool_calls FROM tool_events
-                   WHERE event_type = 'decision' GROUP BY 1) t ON t.session_id = g.session_id
-        WHERE g.rn = 1"""
+        SELECT session_id, max(user_email) AS user_email,
+               arg_max(opened, user_email) AS start_time, arg_max(closed, user_email) AS end_time,
+               ((epoch_ms(arg_max(closed, user_email)) - epoch_ms(arg_max(opened, user_email))) * 100
+                 + 30000) // 60000 / 100.0::double AS duration_min,
+               CAST(sum(turns) AS bigint) AS num_turns, CAST(sum(calls) AS bigint) AS num_api_calls,
+               CAST(sum(tools) AS bigint) AS num_tool_calls, sum(spent) AS total_cost_usd,
+               CAST(sum(used) AS bigint) AS total_tokens
+        FROM (SELECT session_id, user_email, min(seen) AS opened, max(seen) AS closed,
+                     sum(turn) AS turns, sum(call) AS calls, sum(tool) AS tools,
+                     sum(cost) AS spent, sum(tokens) AS used
+              FROM (SELECT session_id, user_email, "timestamp" AS seen, 0 AS turn, 1 AS call,
+                           0 AS tool, cost_usd AS cost, total_tokens AS tokens FROM api_requests
+                    UNION ALL
+                    SELECT session_id, user_email, "timestamp", 1, 0, 0, 0, 0 FROM user_prompts
+                    UNION ALL
+                    SELECT session_id, user_email, "timestamp", 0, 0,
+                           (event_type = 'decision')::int, 0, 0 FROM tool_events) facts
+              GROUP BY session_id, user_email) folded
+        GROUP BY session_id"""
 
 SOURCES = ["events", "customer", "nation", "region"]
 _REFERENCE = re.compile(r"\{(\w+)\}")

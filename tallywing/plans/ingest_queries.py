@@ -167,7 +167,7 @@ CASES.add("load_warehouse", lambda i: stack(
     df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
     for name, df in _load(i).items()), _TABLE_COUNTS)
 CASES.add("scan_table", lambda i: warehouse.scan_table(i.wh, """
-    SELECT model, count(*) AS calls FROM api_requests
+    SELECT model, count(*) AS calls FROM {api_requests}
     WHERE duration_ms >= :slow GROUP BY model""", {"slow": 5000}), """
     SELECT model, count(*) AS calls FROM api_requests WHERE duration_ms >= 5000 GROUP BY model""")
 

@@ -44,8 +44,9 @@ class Catalogue(dict[str, Query]):
 # Text helpers for the oracles.
 
 def R(value: str, digits: int) -> str:
-    """Half-up rounding on a decimal, like ``functions.numeric.rounded``."""
-    return f"CAST(round(CAST({value} AS decimal(28,8)), {digits}) AS double)"
+    """Half-up rounding of the digits a double prints."""
+    return (f"CAST(round(CAST(CAST(CAST({value} AS double) AS varchar) AS decimal(38,14)), {digits})"
+            " AS double)")
 
 
 def M(value: str) -> str:

@@ -30,7 +30,8 @@ def _parse(rows: DataFrame, text: str, schema: T.StructType, output: str) -> Dat
     guarded = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     found = F.from_json(text, guarded, {"columnNameOfCorruptRecord": CORRUPT})
     parsed = rows.select("*", F.explode_outer(F.array(found)).alias("_found"))
-    whole = F.startswith(F.ltrim(text), F.lit("{")) & F.endswith(F.rtrim(text), F.lit("}"))
+    bare = F.trim(F.col(text), F.lit(" \t\r\n"))
+    whole = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
     good = whole & F.col("_found").isNotNull() & F.col(f"_found.{CORRUPT}").isNull()
     return parsed.withColumn(output, F.when(good, F.col("_found"))).drop("_found")
 
@@ -48,8 +49,10 @@ def _envelopes(lines: DataFrame) -> DataFrame:
 def _messages(lines: DataFrame) -> DataFrame:
     entries = _envelopes(lines).select(
         F.explode_outer("envelope.logEvents").alias("entry")).where(F.col("entry").isNotNull())
-    texts = entries.select(F.col("entry.id").alias("log_id"),
-                           F.col("entry.timestamp").alias("log_time"),
+    # Neither field is needed to read an event, so none of any JSON type may cost one.
+    time = F.coalesce(F.col("entry.timestamp").try_cast("bigint"),
+                      F.col("entry.timestamp").try_cast("double").try_cast("bigint"))
+    texts = entries.select(F.col("entry.id").alias("log_id"), time.alias("log_time"),
                            F.coalesce(F.col("entry.message"), F.lit("{}")).alias("message"))
     return _parse(texts, "message", _only(MESSAGE, "body", "attributes"), "event")
 
@@ -103,7 +106,9 @@ def _whole(name: str) -> Column:
 
 
 def _real(value: Column) -> Column:
-    return as_float(F.coalesce(value, F.lit("0")))
+    """An infinite number becomes the default, as in whole-number attributes."""
+    number = as_float(F.coalesce(value, F.lit("0")))
+    return F.when(F.abs(number) == float("inf"), 0.0).otherwise(number)
 
 
 def table_columns(kind: str, raw: Callable[[str], Column] = _raw,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from typing import Any
 
@@ -31,17 +32,39 @@ def event_tables(stored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
-    return Warehouse(
-        employees=spark.read.parquet(f"{root}/employees"),
-        sessions=spark.read.parquet(f"{root}/sessions"),
-        **event_tables(spark.read.parquet(f"{root}/events")))
+def _current(spark: SparkSession, root: str) -> str | None:
+    """Folder of the newest finished load."""
+    loads = _existing(spark, f"{root}/loads")
+    newest = loads.orderBy(F.desc("finished"), "folder").first() if loads is not None else None
+    return f"{root}/{newest['folder']}" if newest else None
+
+
+def open_warehouse(spark: SparkSession, root: str, first_day: str | None = None,
+                   last_day: str | None = None) -> Warehouse:
+    """The tables of the newest finished load.
+
+    Given days, both included, leave events of other days out; only those days' folders are
+    read. Sessions that touch the days are kept whole.
+    """
+    folder = _current(spark, root)
+    if folder is None:
+        raise FileNotFoundError(f"no finished load under {root}")
+    events, sessions = (spark.read.parquet(f"{folder}/{t}") for t in ("events", "sessions"))
+    if first_day is not None:
+        events = events.where(F.col("date") >= F.lit(first_day).cast("date"))
+        sessions = sessions.where(F.to_date("end_time") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        events = events.where(F.col("date") <= F.lit(last_day).cast("date"))
+        sessions = sessions.where(F.to_date("start_time") <= F.lit(last_day).cast("date"))
+    return Warehouse(employees=spark.read.parquet(f"{folder}/employees"), sessions=sessions,
+                     **event_tables(events))
 
 
 def _is_loaded(spark: SparkSession, root: str) -> bool:
-    events, sessions = (_existing(spark, f"{root}/{t}") for t in ("events", "sessions"))
-    if events is None or sessions is None:
+    folder = _current(spark, root)
+    if folder is None:
         return False
+    events = spark.read.parquet(f"{folder}/events")
     return not events.where(F.col("kind") == "api_request").isEmpty()
 
 
@@ -49,12 +72,14 @@ def load_warehouse(spark: SparkSession, events_path: str, employees_path: str, r
                    force: bool = False) -> tuple[Warehouse, dict[str, int]]:
     """Build the warehouse under ``root`` and count the events per kind on the way.
 
-    Skipped where request rows are already stored, unless ``force``; a load replaces all
-    tables. Events are stored once, partitioned by kind and date, so filters on the day
-    prune files. Counters are observed on the write itself; a skipped load has none.
+    Skipped where request rows are already stored, unless ``force``. A load writes a folder
+    of its own and is entered in ``loads`` when all tables are complete; until then readers
+    see the load before it. Events are stored once, partitioned by kind and date.
+    Counters are observed on the write itself; a skipped load has none.
     """
     if not force and _is_loaded(spark, root):
         return open_warehouse(spark, root), {}
+    folder = f"{root}/load-{uuid.uuid4().hex}"
     try:
         lines = read_lines(spark, events_path)
         employees = read_employees(spark, employees_path)
@@ -69,18 +94,20 @@ def load_warehouse(spark: SparkSession, events_path: str, employees_path: str, r
         F.count(F.lit(1)).alias("total"))
     # Rebalancing gives each folder few files of even size and splits a day that is much
     # larger than the others.
-    typed_events(events).hint("rebalance", "kind", "date").write.mode("overwrite").partitionBy(
-        "kind", "date").parquet(f"{root}/events")
-    employees.write.mode("overwrite").parquet(f"{root}/employees")
-    tables = event_tables(spark.read.parquet(f"{root}/events"))
+    typed_events(events).hint("rebalance", "kind", "date").write.partitionBy(
+        "kind", "date").parquet(f"{folder}/events")
+    employees.write.parquet(f"{folder}/employees")
+    tables = event_tables(spark.read.parquet(f"{folder}/events"))
     build_sessions(tables["api_requests"], tables["user_prompts"], tables["tool_events"]
-                   ).write.mode("overwrite").parquet(f"{root}/sessions")
+                   ).write.parquet(f"{folder}/sessions")
+    spark.range(1).select(F.lit(folder.rsplit("/", 1)[1]).alias("folder"),
+                          F.current_timestamp().alias("finished")).write.mode("append").parquet(f"{root}/loads")
     return open_warehouse(spark, root), loaded.get
 
 
 def scan_table(wh: Warehouse, sql: str, args: Mapping[str, Any] | None = None) -> DataFrame:
-    """Run SQL over the six tables; ``args`` are bound as ``:name`` parameters."""
-    spark = wh.sessions.sparkSession
-    for name, table in wh.items():
-        table.createOrReplaceTempView(name)
-    return spark.sql(sql, args=dict(args or {}))
+    """Run SQL over the six tables, written ``{api_requests}`` and so on.
+
+    ``args`` are bound as ``:name`` parameters. No view stays behind in the session.
+    """
+    return wh.sessions.sparkSession.sql(sql, args=dict(args or {}), **dict(wh.items()))

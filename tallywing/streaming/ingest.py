@@ -8,10 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 from tallywing.sources.envelopes import parse_events, typed_events
 
 
-def read_line_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Lines of envelope files as they arrive, at most ``max_files`` per batch."""
+def read_line_stream(spark: SparkSession, path: str, max_files: int = 1000,
+                     max_file_age: str = "3650d") -> DataFrame:
+    """Lines of envelope files as they arrive, at most ``max_files`` per batch.
+
+    A file more than ``max_file_age`` older than the newest one is left out. Spark's own
+    default of a week would pass over restored files; ten years take any log, at the price
+    of remembering the names of all files seen.
+    """
     return spark.readStream.option("maxFilesPerTrigger", max_files).option(
-        "recursiveFileLookup", "true").text(path).select("value")
+        "maxFileAge", max_file_age).option("recursiveFileLookup", "true").text(path).select("value")
 
 
 def stream_ingest(lines: DataFrame, events_path: str, checkpoint: str) -> StreamingQuery:

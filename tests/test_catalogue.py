@@ -1,10 +1,4 @@
-"""Registered queries against their SQL on the smallest data set.
-
-By default without those whose plans other tests run too; TALLYWING_TEST_QUERIES=all runs
-every one.
-"""
-
-import os
+"""Registered queries against their SQL on the smallest data set."""
 
 import pytest
 
@@ -14,11 +8,7 @@ from compare import connect, differences
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_point.queries()
 ORACLES = entry_point.oracle_sql()
-COVERED = ("ingest_", "load_", "stream_", "histogram_", "box_", "drilldown_", "check_", "quality_s",
-           "forecast_daily_sessions", "top_engaged", "top_users_f", "user_engagement_scores_f",
-           "coerce_", "detect_daily_cost_anomalies_", "write_", "route_")
-SELECTED = sorted(n for n in ORACLES if os.environ.get("TALLYWING_TEST_QUERIES") == "all"
-                  or not n.startswith(COVERED))
+SELECTED = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")

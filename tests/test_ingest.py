@@ -6,7 +6,9 @@ from builders import rows
 from pyspark.sql import functions as F
 
 from tallywing.functions import coerce
-from tallywing.model import EVENT_KINDS
+from tallywing.functions.numeric import rounded
+from tallywing.model import EMPLOYEE_FIELDS, EVENT_KINDS
+from tallywing.operators import quality
 from tallywing.sources import directory, envelopes, warehouse
 
 BODY = {kind: body for body, kind in EVENT_KINDS.items()}
@@ -177,7 +179,7 @@ def test_load_open_skip_and_force(spark, derived, tmp_path):
     plan = wh.api_requests.where("user_email = 'a@x'")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(user_email), EqualTo(user_email,a@x)]" in plan
     assert "PartitionFilters: [isnotnull(kind" in plan
-    calls = warehouse.scan_table(wh, "SELECT count(*) AS n FROM api_requests WHERE model = :m",
+    calls = warehouse.scan_table(wh, "SELECT count(*) AS n FROM {api_requests} WHERE model = :m",
                                  {"m": "model-1"}).first()["n"]
     assert calls == wh.api_requests.where("model = 'model-1'").count()
 
@@ -186,3 +188,46 @@ def test_missing_input(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         warehouse.load_warehouse(spark, str(tmp_path / "no"), str(tmp_path / "none"),
                                  str(tmp_path / "root"))
+
+
+def test_nothing_is_lost_to_fields_or_white_space(spark):
+    """Times of any JSON type, padded lines and padded messages all give their events."""
+    message = json.dumps({"body": "other", "attributes": {"session.id": "s", "cost_usd": "inf"}})
+    entries = [{"id": "a", "timestamp": t, "message": m} for t, m in (
+        ("1700000000000", message), (1700000000000.5, message + "\n"), (None, "\t\r\n" + message),
+        ({"odd": 1}, message), (1700000000000, message))]
+    lines = ["\t" + json.dumps({"logEvents": entries}) + " \t", "\r\n", "{no"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    events = envelopes.parse_events(df).collect()
+    assert [e["log_time"] for e in events] == [1700000000000, 1700000000000, None, None, 1700000000000]
+    assert [(r["level"], r["text"]) for r in envelopes.corrupt_records(df).collect()] == [("envelope", "{no")]
+
+
+def test_infinite_cost_is_kept_out(spark):
+    body = next(b for b, kind in EVENT_KINDS.items() if kind == "api_request")
+    texts = [json.dumps({"logEvents": [{"id": "a", "timestamp": 1, "message": json.dumps(
+        {"body": body, "attributes": {"cost_usd": c}})}]}) for c in ("inf", "1e30", "0.5")]
+    events = envelopes.parse_events(spark.createDataFrame([(t,) for t in texts], "value string"))
+    costs = [r["cost_usd"] for r in envelopes.typed_events(events).collect()]
+    assert costs == [0.0, 1e30, 0.5]
+    assert spark.range(1).select(rounded(F.lit(1e30), 2).alias("a"), rounded(F.lit(0.004999999999), 2).alias("b"),
+                                 rounded(F.lit(1.005), 2).alias("c")).first() == (1e30, 0.0, 1.01)
+
+
+def test_unfinished_load_is_not_seen(spark, derived, tmp_path):
+    logs, staff, root = (str(tmp_path / n) for n in ("logs", "staff", "root"))
+    envelopes.pack_envelopes(envelopes.event_messages(derived)).select("value").write.text(logs)
+    derived.employees.select(EMPLOYEE_FIELDS).write.csv(staff, header=True)
+    first, _ = warehouse.load_warehouse(spark, logs, staff, root)
+    with pytest.raises(Exception):
+        warehouse.load_warehouse(spark, logs, str(tmp_path / "none"), root, force=True)
+    assert warehouse.open_warehouse(spark, root).sessions.count() == first.sessions.count()
+    day = first.api_requests.agg(F.to_date(F.min("timestamp"))).first()[0].isoformat()
+    one_day = warehouse.open_warehouse(spark, root, day, day)
+    assert 0 < one_day.api_requests.count() < first.api_requests.count()
+    assert "date" in one_day.api_requests._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    report = {r["check_name"]: r["status"] for r in quality.quality_report(first).collect()}
+    assert report["schema_completeness"] == "PASS"
+    before = {t.name for t in spark.catalog.listTables()}
+    warehouse.scan_table(first, "SELECT count(*) AS n FROM {sessions}").collect()
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -116,3 +116,11 @@ def test_duration_moments(spark):
     assert row["n"] == 5 and row["skewness"] == pytest.approx((z ** 3).mean(), abs=6e-4)
     assert row["kurtosis"] == pytest.approx((z ** 4).mean() - 3, abs=6e-4)
     assert row["std"] == pytest.approx(d.std(ddof=1), abs=6e-3)
+
+
+def test_groups_of_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 4.0)], "k string, v double")
+    assert sorted(r["v_z"] for r in stats.standardize(df, ["v"], ["k"]).collect()) == [-1, -1, 1, 1]
+    assert sorted(r["v_n"] for r in stats.minmax_normalize(df, ["v"], ["k"]).collect()) == [0, 0, 1, 1]
+    assert sorted(r["v_n"] for r in stats.max_normalize(df, ["v"], ["k"]).collect())[-2:] == [1, 1]
+    assert {r["k"]: r["n"] for r in stats.box_stats(df, "v", ["k"]).collect()} == {"a": 2, None: 2}
