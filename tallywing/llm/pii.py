@@ -44,7 +44,7 @@ CANDIDATES = {
     "card": r"(?:(?<![0-9])|\G)[0-9]{2,}+(?:[\x20./_-]?[0-9]++)*+",
     "phone": r"(?:\+\x20?)?+[(0-9][\x20()./0-9-]+[0-9]",
 }
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters that must occur for a pattern to have any match.
 _NEEDS = {"email": r"@|at[)\]}]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 _CUES = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|addr", "card": "card|visa|credit|debit|pay",
