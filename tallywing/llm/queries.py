@@ -39,6 +39,30 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
+#: Formatted lengths follow from how many windows show a turn; roles in the table need no escapes.
+OP3_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS size,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM turns),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place) - size AS begin_at,
+                  sum(size) OVER (PARTITION BY conv_id) AS total FROM sized),
+spans AS (SELECT *, begin_at // 1024 AS span, place = 1 AND role = 'system' AS is_system FROM summed),
+ended AS (SELECT *, max(begin_at + size) OVER (PARTITION BY conv_id, span) AS end_at FROM spans),
+later AS (SELECT conv_id, count(DISTINCT span) FILTER (WHERE span > 0) AS n FROM spans GROUP BY conv_id),
+shown AS (SELECT e.*, 1 + CASE WHEN is_system THEN n ELSE (end_at < total AND end_at - begin_at <= 256)::int END AS times,
+                 length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))
+                 + len(regexp_extract_all(text, '[<\[]\\*(\|im_start\|>|\|im_end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)')) AS chars
+          FROM ended e JOIN later l ON l.conv_id IS NOT DISTINCT FROM e.conv_id),
+told AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS all_text,
+                coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS learnt,
+                CAST(sum(times * chars) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+       formatted_chars FROM told
+"""
+
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -49,6 +73,24 @@ def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, rules, urls.alias_links(pages))
 
 
+#: The given pages hold no redirect or canonical link, so no verdict comes from an alias here;
+#: aliases are tested on fixtures.
+OP4_SQL = r"""
+WITH rules(host, path, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+    ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
+rests AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT row_number() OVER () AS row_id, page_id,
+                 translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+fits AS (SELECT row_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+         FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+         GROUP BY row_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict,
+       CASE WHEN rule IS NULL THEN 'default' ELSE 'rule' END AS why
+FROM parts LEFT JOIN fits USING (row_id)
+"""
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = pii.all_spans(docs, pii.fit(docs))
@@ -115,4 +157,5 @@ QUERIES = {f.__name__: f for f in (
     op1_permutation_index, op2_consensus_extraction, op3_chat_windows, op4_redirect_equivalence, op5_personal_data,
     op6_best_fit_packing, op7_minhash_near_dedup, op8_benchmark_decontamination, op9_quality_additive,
     op10_token_bits)}
-ORACLES: dict[str, str] = {"op7_minhash_near_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_chat_windows": OP3_SQL, "op4_redirect_equivalence": OP4_SQL,
+                           "op7_minhash_near_dedup": OP7_SQL}
