@@ -136,7 +136,7 @@ def score_rows(df: DataFrame, features: Sequence[str], nodes: pd.DataFrame,
 def flag_anomalies(scored: DataFrame, contamination: float = 0.1,
                    score: str = "anomaly_score") -> DataFrame:
     """Label the lowest ``contamination`` share −1 and grade −score into three equal bands."""
-    cut = quantiles(scored, score, {"cut": contamination}, width=1e-3).scalar()
+    cut = quantiles(scored, score, {"cut": contamination}).scalar()
     ends = scalar(scored, F.struct(F.min(score).alias("low"), F.max(score).alias("high")))
     rows = scored.withColumns({"_cut": cut, "_ends": ends}).select(
         *scored.columns, "_cut", F.col("_ends.low").alias("_low"),

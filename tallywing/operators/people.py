@@ -210,7 +210,7 @@ def drilldown_kpis(wh: Warehouse, email: str) -> DataFrame:
         rounded(F.sum("total_cost_usd"), 2).alias("total_cost"),
         F.sum("num_turns").alias("total_turns"),
         rounded(mean(F.col("num_api_calls")), 1).alias("avg_api_per_session"))
-    median = quantiles(mine, "duration_min", {"median_session_min": 0.5}, width=1.0)
+    median = quantiles(mine, "duration_min", {"median_session_min": 0.5})
     errors = drilldown_errors(wh, email).agg(
         F.count(F.lit(1)).alias("error_groups"), total(F.col("count")).alias("errors"))
     return one_row(sums, median, errors).withColumn(

@@ -36,5 +36,5 @@ def prompt_stats_by_practice(wh: Warehouse) -> DataFrame:
         F.min("prompt_length").alias("min_length"),
         F.max("prompt_length").alias("max_length"))
     median = quantiles(lengths, "prompt_length", {"median_length": 0.5}, ["practice"],
-                       width=64.0, weight="prompts")
+                       weight="prompts")
     return stats.join(median, "practice", "left").orderBy(F.desc("avg_length"), "practice")

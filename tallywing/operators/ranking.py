@@ -2,9 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, and a
 ``rank`` window sorts a group in one task. Here the rows of a group are first
-collapsed to counts per distinct value, and the values are cut into equal-width
-buckets: only the short list of bucket totals is cumulated per group, while values
-are cumulated inside their own bucket.
+collapsed to counts per distinct value, and the values are cut into buckets at
+approximate quantiles, so that each holds about the same number of distinct ones whatever
+the distribution: only the short list of bucket totals is cumulated per group, while
+values are cumulated inside their own bucket.
 """
 
 from __future__ import annotations
@@ -14,35 +15,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_AUTO_BUCKETS = 4096
+from tallywing.session import materialize
+
+BUCKETS = 128
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (),
-                      width: float | Column | None = None,
-                      weight: str | None = None) -> DataFrame:
+                      weight: str | None = None, buckets: int = BUCKETS,
+                      keep_bucket: bool = False) -> DataFrame:
     """Per (keys, distinct value): ``n`` rows, ``below`` smaller ones, ``total`` of the group.
 
-    ``width`` is the bucket width; any width gives the same answer. Without one it is
-    taken from the range of the column. ``weight`` names a column of row multiplicities.
+    Any number of ``buckets`` gives the same answer; a task holds about one part in
+    ``buckets`` of the values. ``weight`` names a column of row multiplicities.
     """
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull())
-    if width is None:
-        span = rows.agg(F.max(v) - F.min(v)).scalar()
-        width = F.coalesce(F.nullif(span / _AUTO_BUCKETS, F.lit(0.0)), F.lit(1.0))
-    bucket = F.floor(v / (width if isinstance(width, Column) else F.lit(float(width))))
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("value"), *([weight] if weight else []))
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (rows.select(*keys, bucket.alias("_bucket"), v.alias("value"),
-                          *([weight] if weight else []))
-              .groupBy(*keys, "_bucket", "value").agg(n.alias("n")))
+    # Stored, since three steps read it: ``df`` is run once.
+    folded = materialize(rows.groupBy(*keys, "value").agg(n.alias("n")), "values")
+    shares = [k / buckets for k in range(1, buckets)] or [0.5]
+    cuts = folded.agg(F.percentile_approx("value", shares, 10 * buckets)).scalar()
+    counts = folded.withColumn("_cuts", F.array_distinct(cuts)).select(
+        *keys, "value", "n",
+        F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("_bucket"))
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     values = counts.withColumn("_upto", F.sum("n").over(inside))
 
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"))
-    buckets = buckets.select(
+    held = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"))
+    held = held.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_bucket").alias("_b"),
         (F.sum("_in").over(group.orderBy("_bucket").rowsBetween(
@@ -53,16 +56,16 @@ def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (),
     on = F.col("_bucket") == F.col("_b")
     for cond in same:
         on = on & cond
-    return values.join(buckets, on).select(
+    return values.join(held, on).select(
         *keys, "value", "n",
-        (F.col("_before") + F.col("_upto") - F.col("n")).alias("below"), "total")
+        (F.col("_before") + F.col("_upto") - F.col("n")).alias("below"), "total",
+        *(["_bucket"] if keep_bucket else []))
 
 
 def quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-              keys: Sequence[str] = (), width: float | Column | None = None,
-              weight: str | None = None) -> DataFrame:
+              keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles, one column per entry of ``probs``."""
-    counted = cumulative_counts(df, value, keys, width, weight)
+    counted = cumulative_counts(df, value, keys, weight)
 
     def at(rank: Column) -> Column:
         hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
@@ -82,8 +85,8 @@ def quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
 
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (),
-                  width: float | Column | None = None, weight: str | None = None) -> DataFrame:
+                  weight: str | None = None) -> DataFrame:
     """Per distinct value its 1-based rank, ties sharing the average."""
-    counted = cumulative_counts(df, value, keys, width, weight)
+    counted = cumulative_counts(df, value, keys, weight)
     return counted.select(*keys, "value", "n", "total",
                           (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))

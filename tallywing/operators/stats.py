@@ -100,13 +100,13 @@ def histogram(df: DataFrame, column: str, nbins: int, by: Sequence[str] = ()) ->
         "count").orderBy(*by, "bin")
 
 
-def box_stats(df: DataFrame, column: str, by: Sequence[str], width: float | None = None,
+def box_stats(df: DataFrame, column: str, by: Sequence[str],
               digits: int = 4) -> DataFrame:
     """Five-number summary, 1.5·IQR fences and the number of rows beyond them."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
         F.count(F.lit(1)).alias("_n"))
     quarters = quantiles(counts, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by,
-                         width=width, weight="_n")
+                         weight="_n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fenced = quarters.withColumns({"lower_fence": F.col("q1") - reach,
                                    "upper_fence": F.col("q3") + reach})
@@ -164,24 +164,23 @@ def cost_anova_by_practice(wh: Warehouse) -> DataFrame:
         "p_value", "significant")
 
 
-def spearman(df: DataFrame, x: str, y: str, x_width: float | None = None,
-             y_width: float | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks as one row ``(rho, n)``.
 
     Rows are folded to counts per (x, y); ranks come from bucketed cumulation and the
     correlation from sums of centred ranks, so ties of any size cost one row.
     """
     xv, yv = F.col(x).cast("double"), F.col(y).cast("double")
-    pairs = df.where(xv.isNotNull() & yv.isNotNull()).groupBy(
-        xv.alias("_x"), yv.alias("_y")).agg(F.count(F.lit(1)).alias("w"))
+    pairs = materialize(df.where(xv.isNotNull() & yv.isNotNull()).groupBy(
+        xv.alias("_x"), yv.alias("_y")).agg(F.count(F.lit(1)).alias("w")), "pairs")
 
-    def centred(column: str, width: float | None) -> DataFrame:
+    def centred(column: str) -> DataFrame:
         folded = pairs.groupBy(column).agg(F.sum("w").alias("w"))
-        ranks = average_ranks(folded, column, width=width, weight="w")
+        ranks = average_ranks(folded, column, weight="w")
         return ranks.select(F.col("value").alias(column),
                             (F.col("rank") - (F.col("total") + 1) / 2).alias(f"d{column}"))
 
-    both = pairs.join(sized(centred("_x", x_width)), "_x").join(centred("_y", y_width), "_y")
+    both = pairs.join(sized(centred("_x")), "_x").join(centred("_y"), "_y")
     dx, dy, w = F.col("d_x"), F.col("d_y"), F.col("w").cast("double")
     return both.agg(
         F.when(F.sum("w") >= 3, F.try_divide(
@@ -191,8 +190,7 @@ def spearman(df: DataFrame, x: str, y: str, x_width: float | None = None,
 
 def level_cost_correlation(wh: Warehouse) -> DataFrame:
     """Rank correlation of seniority and session cost."""
-    rank = spearman(_session_costs(wh, "level_num"), "level_num", "total_cost_usd",
-                    x_width=1.0, y_width=0.01)
+    rank = spearman(_session_costs(wh, "level_num"), "level_num", "total_cost_usd")
     r2 = F.col("rho") * F.col("rho")
     stat = rank.withColumns({
         "f": F.coalesce(F.try_divide(r2 * (F.col("n") - 2), 1 - r2), F.lit(float("inf"))),
@@ -210,7 +208,7 @@ def session_duration_stats(wh: Warehouse, max_minutes: float = 480) -> DataFrame
     counts = with_employee(timed, wh, "practice").groupBy("practice", "duration_min").agg(
         F.sum("w").alias("w"))
     points = quantiles(counts, "duration_min", {"median": 0.5, "p10": 0.1, "p90": 0.9},
-                       ["practice"], width=1.0, weight="w")
+                       ["practice"], weight="w")
     # Durations are multiples of 0.01 below the cut, so counts per value are a short table
     # and the moments can be taken about the exact mean.
     centre = counts.groupBy("practice").agg(

@@ -145,8 +145,7 @@ def token_distribution(wh: Warehouse, approx: bool = False) -> DataFrame:
         points = long.groupBy("metric").agg(*[
             F.percentile_approx("value", p).alias(name) for name, p in TOKEN_PROBS.items()])
     else:
-        width = F.when(F.col("metric") == "cost_usd", F.lit(0.01)).otherwise(F.lit(256.0))
-        points = quantiles(long, "value", TOKEN_PROBS, ["metric"], width)
+        points = quantiles(long, "value", TOKEN_PROBS, ["metric"])
     points = points.select("metric", *[rounded(F.col(p), 2).alias(p) for p in TOKEN_PROBS])
     return points.join(spread, "metric")
 

@@ -313,13 +313,13 @@ LENGTHS = (f"SELECT e.practice, p.prompt_length FROM user_prompts p {EMP('p')} "
            "WHERE p.prompt_length BETWEEN 1 AND 10000")
 
 CASES.add("box_costs", lambda i: stats.box_stats(
-    people.session_costs_by_practice(i.wh), "total_cost_usd", ["practice"], width=0.01),
+    people.session_costs_by_practice(i.wh), "total_cost_usd", ["practice"]),
     _box_sql(COSTS, "total_cost_usd", "practice"))
 CASES.add("box_gaps", lambda i: stats.box_stats(
-    behavior.inter_session_gaps(i.wh), "gap_hours", ["practice"], width=0.25),
+    behavior.inter_session_gaps(i.wh), "gap_hours", ["practice"]),
     _box_sql(f"WITH {GAPS} SELECT * FROM gaps", "gap_hours", "practice"))
 CASES.add("box_prompt_lengths", lambda i: stats.box_stats(
-    prompts.prompt_lengths_by_practice(i.wh), "prompt_length", ["practice"], width=64),
+    prompts.prompt_lengths_by_practice(i.wh), "prompt_length", ["practice"]),
     _box_sql(LENGTHS, "prompt_length", "practice"))
 CASES.add("box_stats", lambda i: stats.box_stats(
     i.parquet("lineitem"), "l_extendedprice", ["l_returnflag"]),
