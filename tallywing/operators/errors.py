@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tallywing.functions.numeric import pct
 from tallywing.model import Warehouse
 from tallywing.operators.common import scalar
+from tallywing.session import materialize
 
 
 def error_summary(wh: Warehouse) -> DataFrame:
     """Errors per message and status with their share of all errors.
 
-    The total is a scalar subquery: messages are free text, so the grouped result
-    may be large and is not sent through an unpartitioned window.
+    Messages are free text, so the grouped result may be large and is not sent through an
+    unpartitioned window: it is stored, and the total is a scalar subquery over it.
     """
-    all_errors = scalar(wh.api_errors, F.count(F.lit(1)))
-    return (wh.api_errors.groupBy("error_msg", "status_code")
-            .agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("pct", pct(F.col("count"), all_errors))
+    grouped = materialize(wh.api_errors.groupBy("error_msg", "status_code").agg(
+        F.count(F.lit(1)).alias("count")), "errors")
+    all_errors = scalar(grouped, F.sum("count"))
+    return (grouped.withColumn("pct", pct(F.col("count"), all_errors))
             .orderBy(F.desc("count"), "error_msg", "status_code"))
 
 

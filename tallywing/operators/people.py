@@ -10,7 +10,7 @@ from tallywing.functions.timeparts import weekday_sunday0
 from tallywing.model import Warehouse
 from tallywing.operators.common import one_row, with_employee
 from tallywing.operators.ranking import quantiles
-from tallywing.operators.stats import max_normalize
+from tallywing.operators.stats import max_normalize, sized
 from tallywing.operators.tools import is_decision, is_result
 
 
@@ -115,7 +115,8 @@ def user_engagement_scores(wh: Warehouse, fanout: bool = False) -> DataFrame:
              .groupBy("user_email").agg(F.countDistinct("tool_name").alias("distinct_tools")))
     users = with_employee(per_user, wh, "practice", "level", "level_num").join(
         tools, "user_email", "left").na.fill(0, ["distinct_tools"])
-    scaled = max_normalize(users, ["sessions", "avg_turns", "distinct_tools"])
+    # One row per user, stored: the maxima read it a second time.
+    scaled = max_normalize(sized(users), ["sessions", "avg_turns", "distinct_tools"])
     score = (0.40 * F.col("sessions_n") + 0.35 * F.col("avg_turns_n")
              + 0.25 * F.col("distinct_tools_n"))
     return (scaled.withColumn("engagement_score", rounded(100 * score, 1))

@@ -10,7 +10,7 @@ from tallywing.functions.timeparts import week_label, weekday_sunday0
 from tallywing.model import Warehouse
 from tallywing.operators.common import one_row, with_employee
 from tallywing.operators.ranking import quantiles
-from tallywing.operators.stats import minmax_normalize
+from tallywing.operators.stats import minmax_normalize, sized
 
 LONG_SESSION_MIN = 480
 
@@ -181,7 +181,8 @@ def model_efficiency_index(wh: Warehouse) -> DataFrame:
         ratio(F.sum("output_tokens"), F.sum("total_tokens")).alias("output_yield"),
         ratio(reads, reads + F.sum("input_tokens")).alias("cache_leverage"),
     ).withColumn("cost_per_output", ratio(F.col("avg_cost"), F.col("avg_output")))
-    inputs = models.select(
+    # One row per model, stored: the ranges read it a second time.
+    inputs = sized(models).select(
         "*",
         F.coalesce("output_yield", F.lit(0.0)).alias("_yield"),
         F.coalesce("cache_leverage", F.lit(0.0)).alias("_cache"),
