@@ -33,6 +33,13 @@ def spark_session(app: str = "tallywing", master: str | None = None, **conf: str
     return ship(builder.getOrCreate())
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Refuses a session in another zone, in which stored times would shift without a sign."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, it is {zone}")
+
+
 _shipped: set[str] = set()
 
 

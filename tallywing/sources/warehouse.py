@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywing.model import EVENT_KINDS, UNKNOWN_KIND, Warehouse
 from tallywing.operators.sessions import build_sessions
+from tallywing.session import require_utc
 from tallywing.sources.directory import read_employees
 from tallywing.sources.envelopes import (
     TABLE_KINDS, parse_events, read_lines, table_columns, typed_events)
@@ -77,6 +78,7 @@ def load_warehouse(spark: SparkSession, events_path: str, employees_path: str, r
     see the load before it. Events are stored once, partitioned by kind and date.
     Counters are observed on the write itself; a skipped load has none.
     """
+    require_utc(spark)
     if not force and _is_loaded(spark, root):
         return open_warehouse(spark, root), {}
     folder = f"{root}/load-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tallywing.session import require_utc
 from tallywing.sources.envelopes import parse_events, typed_events
 
 
@@ -27,6 +28,7 @@ def stream_ingest(lines: DataFrame, events_path: str, checkpoint: str) -> Stream
     Files land in kind and date folders; the file sink's log makes a replayed batch
     harmless. Read it back with ``warehouse.event_tables``.
     """
+    require_utc(lines.sparkSession)
     return (typed_events(parse_events(lines)).writeStream.format("parquet")
             .partitionBy("kind", "date").option("path", events_path)
             .option("checkpointLocation", checkpoint).outputMode("append")

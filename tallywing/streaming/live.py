@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallywing.operators.sessions import COUNTERS, fold_facts, fold_sessions
+from tallywing.session import require_utc
 
 
 def _with_event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     """Watermarks need TIMESTAMP; the zone-free column is taken as UTC."""
+    require_utc(df.sparkSession)
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 

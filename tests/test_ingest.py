@@ -231,3 +231,12 @@ def test_unfinished_load_is_not_seen(spark, derived, tmp_path):
     before = {t.name for t in spark.catalog.listTables()}
     warehouse.scan_table(first, "SELECT count(*) AS n FROM {sessions}").collect()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_session_in_another_zone_is_refused(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            warehouse.load_warehouse(spark, str(tmp_path), str(tmp_path), str(tmp_path / "root"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
