@@ -8,10 +8,12 @@ documents with an equal band share a bucket.
 Documents with the very same shingle set are one class, so copies never meet in a bucket.
 A bucket's pairs are bounded by a star: its members are paired with its least one only and
 compared on full shingle sets; links are merged into components. Most buckets then hold one
-component and are done with. The members of each other bucket are brought together with
-their shingle sets, in blocks of bounded size, and compared across components in place: a pair
-in the first band it shares only, and no longer once a chain of links joins it. Only links
-leave that step, so no link between bucket members is lost and no pair is ever a row.
+component and are done with. The others' members are compared across components in place,
+with their shingle sets: those of buckets that overlap form a family, which is brought together
+in blocks of bounded size, each member once; a family of more than ``LARGE`` members is taken
+bucket by bucket instead, a pair in the first band it shares only. Pairs that a chain of links
+joins already are passed over. Only links leave that step, so no link between bucket members is
+lost and no pair is ever a row.
 
 With 48 bands of 6 bins, two sets with a similarity of 0.8 share no bucket once in two
 million pairs; more similar ones far less often.
@@ -31,7 +33,7 @@ from tallywing.llm.tokens import slices
 from tallywing.session import materialize
 
 BANDS, ROWS = 48, 6
-BLOCK = 1024
+BLOCK, LARGE = 1024, 8192
 _BATCH_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -168,10 +170,12 @@ def _star_pairs(buckets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
         100 * F.least("most_a", "most_b") >= percent * F.greatest("least_a", "least_b")).select("a", "b")
 
 
-def _links_inside(at: tuple[int, int, int], rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between members of one bucket block, or from one block to another, across components.
+def _links_inside(at: tuple[int, bool, int, int], rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between members of one block, or from one block to another, across components.
 
-    ``at``: the bucket's key and the two blocks; ``rows``: member, component, block, shingles, band keys."""
+    ``at``: a family, or a bucket's key, which of them, and the two blocks; ``rows``: member,
+    component, block, shingles, band keys."""
+    group, is_family, x, y = at
     root: dict[int, int] = {r[1]: r[1] for r in rows}
 
     def find(x: int) -> int:
@@ -184,14 +188,14 @@ def _links_inside(at: tuple[int, int, int], rows: list[tuple], percent: int) ->
     sizes = np.asarray([len(x) for x in sets])
     keys = np.stack([np.asarray(r[4], np.int64) for r in rows])
     blocks = np.asarray([r[2] for r in rows])
-    band = int((keys[0] == at[0]).argmax())
+    band = int((keys[0] == group).argmax())
     links: list[tuple[int, int]] = []
     for k in range(len(rows) - 1):
         equal = keys[k + 1:] == keys[k]
-        fit = (equal.argmax(axis=1) == band) & equal[:, band]
+        fit = equal.any(axis=1) if is_family else (equal.argmax(axis=1) == band) & equal[:, band]
         low, high = np.minimum(sizes[k + 1:], sizes[k]), np.maximum(sizes[k + 1:], sizes[k])
         fit &= 100 * low >= percent * high
-        if at[1] != at[2]:
+        if x != y:
             fit &= blocks[k + 1:] != blocks[k]
         for n in np.flatnonzero(fit) + k + 1:
             here, there = find(rows[k][1]), find(rows[n][1])
@@ -217,11 +221,11 @@ def _bucket_links(members: DataFrame, least: DataFrame, docs: DataFrame, width:
         at = None
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for key, x, y, *row in batch.itertuples(index=False, name=None):
-                if (key, x, y) != at:
+            for unit, is_family, x, y, *row in batch.itertuples(index=False, name=None):
+                if (unit, is_family, x, y) != at:
                     if len(group) > 1:
                         links += _links_inside(at, group, percent)
-                    group, at = [], (key, x, y)
+                    group, at = [], (unit, is_family, x, y)
                 group.append(tuple(row))
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
         if len(group) > 1:
@@ -230,16 +234,24 @@ def _bucket_links(members: DataFrame, least: DataFrame, docs: DataFrame, width:
     names = members.select(F.col("member").alias("doc_id")).distinct()
     sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(names, "doc_id", "left_semi") \
         .mapInPandas(shingled, "member bigint, shingles binary")
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # A member of a large bucket goes to each pair of blocks that has its own.
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    hubs = members.groupBy("key").agg(F.min("member").alias("hub"))
+    families = connected_components(members.join(hubs, "key").select("member", "hub").distinct(), "member", "hub") \
+        .withColumnsRenamed({"node": "member", "component": "family"})
+    small = families.groupBy("family").agg((F.count("*") <= LARGE).alias("is_family"))
+    placed = members.join(families.join(small, "family"), "member")
+    units = placed.select(F.when(F.col("is_family"), F.col("family")).otherwise(F.col("key")).alias("unit"), "is_family",
+                          "member", "component").distinct()
+    blocks = units.groupBy("unit", "is_family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # A member of a large unit goes to each pair of blocks that has its own.
+    dealt = units.join(blocks, ["unit", "is_family"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = dealt.withColumn("pair", F.explode(F.transform(other, lambda j: F.struct(
         F.least(F.col("block"), j).alias("x"), F.greatest(F.col("block"), j).alias("y")))))
     kept = least.select("member", "keys")
-    full = spread.join(sets.join(kept, "member"), "member").select("key", "pair.x", "pair.y", "member", "component", "block",
-                                                                  "shingles", "keys")
-    return full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "member") \
+    full = spread.join(sets.join(kept, "member"), "member").select(
+        "unit", "is_family", "pair.x", "pair.y", "member", "component", "block", "shingles", "keys")
+    group = ("unit", "is_family", "x", "y")
+    return full.repartition(*group).sortWithinPartitions(*group, "member") \
         .mapInPandas(compared, "a bigint, b bigint").distinct()
 
 
@@ -279,6 +291,8 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     to_class = classes.select("digest", "member")
     out = stored.join(to_class, "digest", "left")
     if parts is None:
-        return out.select("doc_id", "n_shingles", F.coalesce("member", "doc_id").alias("component_id"))
-    return out.join(parts.withColumnRenamed("node", "member"), "member", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "member", "doc_id").alias("component_id"))
+        out = out.withColumn("component", F.col("member"))
+    else:
+        out = out.join(parts.withColumnRenamed("node", "member"), "member", "left")
+    reached = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "member", "doc_id"))
+    return out.select("doc_id", "n_shingles", reached.alias("component_id"))
