@@ -23,7 +23,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f᠎​-‏⁠
 #: Bytes that neither are control characters nor begin the code of other white space.
 _SAFE_BYTES = bytes(b for b in range(256) if b == 10 or (b >= 32 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF)))
 _REMEMBERED = 300_000
-_BATCH_CHARS = 3_000_000
+_BATCH_CHARS = 4_500_000
 _JOINED = 500
 
 _encoders: dict[str, WordEncoder] = {}
@@ -48,6 +48,18 @@ class WordEncoder:
         self._ids = np.empty(0, np.uint32)
         self._starts = np.empty(0, np.int64)
         self._sizes = np.empty(0, np.int64)
+        self._uses = np.empty(0, np.int64)
+
+    def _thin_out(self) -> None:
+        """Keeps the half of the words that was used most."""
+        keep = np.sort(np.argpartition(-self._uses, _REMEMBERED // 2)[:_REMEMBERED // 2])
+        place = np.full(len(self._uses), -1)
+        place[keep] = np.arange(len(keep))
+        self._known = {w: int(place[k]) for w, k in self._known.items() if place[k] >= 0}
+        starts, sizes = self._starts[keep], self._sizes[keep]
+        ends = np.cumsum(sizes)
+        self._ids = self._ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self._starts, self._sizes, self._uses = ends - sizes, sizes, self._uses[keep] // 2
 
     def _whole(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch(list(texts), add_special_tokens=False)]
@@ -72,6 +84,7 @@ class WordEncoder:
         self._ids = np.concatenate([self._ids, flat])
         self._starts = np.concatenate([self._starts, base + np.cumsum(sizes) - sizes])
         self._sizes = np.concatenate([self._sizes, sizes])
+        self._uses = np.concatenate([self._uses, np.zeros(len(words), np.int64)])
 
     def _regular(self, text: str) -> bool:
         if not text or text[0] in " \n" or "  " in text or " \n" in text or "\n " in text \
@@ -84,7 +97,7 @@ class WordEncoder:
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
         if len(self._known) > _REMEMBERED:
-            self._forget()
+            self._thin_out()
         regular = [k for k, t in enumerate(texts) if self._regular(t)]
         other = sorted(set(range(len(texts))) - set(regular))
         # The first word of a text has no blank before it, so it is encoded apart.
@@ -97,6 +110,7 @@ class WordEncoder:
         if new:
             self._learn(new)
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        self._uses += np.bincount(at, minlength=len(self._uses))
         heads = np.cumsum(counts) - counts
         first = [texts[k].replace("\n", " \n").split(" ", 1)[0] for k in regular]
         first_ids, first_sizes = self._apart(first) if first else (np.empty(0, np.uint32), np.empty(0, np.int64))
