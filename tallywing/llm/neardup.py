@@ -34,6 +34,7 @@ from tallywing.session import materialize
 
 BANDS, ROWS = 48, 6
 BLOCK, LARGE = 1024, 8192
+SENT_IDS = 2_000_000
 _BATCH_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -120,6 +121,15 @@ class Sketcher:
         return key.view(np.int64)
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with (left_semi) or without (left_anti) one of ``ids``, one column doc_id.
+
+    At most ``SENT_IDS`` distinct ids are sent to where the texts lie; more are joined by shuffle."""
+    stored = materialize(ids.select("doc_id").distinct(), "ids")
+    few = stored.count() <= SENT_IDS
+    return docs.join(F.broadcast(stored) if few else stored, "doc_id", how).select(*docs.columns)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set (null if empty), band keys."""
 
@@ -153,8 +163,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 linked.append(bool(common) and 100 * common >= percent * (len(p) + len(q) - common))
             yield batch.loc[linked, ["a", "b"]]
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = materialize(by_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "left_semi"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(rows, "a bigint, b bigint").distinct()
@@ -231,8 +241,8 @@ def _bucket_links(members: DataFrame, least: DataFrame, docs: DataFrame, width:
         if len(group) > 1:
             yield pd.DataFrame(_links_inside(at, group, percent), columns=["a", "b"], dtype="int64")
 
-    names = members.select(F.col("member").alias("doc_id")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(names, "doc_id", "left_semi") \
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets = by_ids(texts, members.select(F.col("member").alias("doc_id")), "left_semi") \
         .mapInPandas(shingled, "member bigint, shingles binary")
     hubs = members.groupBy("key").agg(F.min("member").alias("hub"))
     families = connected_components(members.join(hubs, "key").select("member", "hub").distinct(), "member", "hub") \
