@@ -3,7 +3,7 @@
 Each stage takes all that the one before it kept. Null and blank texts pass the stages that
 look for something in them and are judged by the quality classifier like any other text.
 Rows with an equal ``doc_id`` are one document: they stay or go together where a stage
-decides on documents (near-duplicates, decontamination), and a null ``doc_id`` stays there.
+decides on documents (the first three), and a null ``doc_id`` stays there.
 """
 
 from __future__ import annotations
@@ -12,28 +12,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywing.llm import decontam, neardup, packing, pii, quality
 from tallywing.llm.queries import WORD_TOKENIZER, table
-from tallywing.session import ship, work_dir
+from tallywing.session import materialize, ship, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model does not reject."""
     ship(spark)
-    model = quality.learn_from(docs, table(spark, sf_dir, "labels"))
-    score = quality.score_column(model, quality.feature_column(F.col("text")))
-    return docs.filter(score >= quality.THRESHOLD)
+    features = materialize(quality.features_table(docs), "features")
+    model = quality.learn(features, table(spark, sf_dir, "labels"))
+    scores = features.select("doc_id", quality.score_column(model, F.col("features")).alias("score"))
+    return neardup.by_ids(docs, scores.filter(F.col("score") < quality.THRESHOLD), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of every group whose five-word shingles are linked at 0.8."""
     linked = neardup.link_components(docs, width=5, percent=80)
-    others = linked.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.by_ids(docs, linked.filter("component_id <> doc_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.by_ids(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
