@@ -147,9 +147,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = CAPACITY,
                    with_ids: bool = False) -> DataFrame:
-    """Encodes, stores and packs documents; one row per piece."""
-    stored = materialize(token_pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
-    return pack(stored, capacity)
+    """Encodes, stores and packs documents; one row per piece.
+
+    Ids wait in the stored table and join their places by row number; no worker holds them
+    while places are looked up."""
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, with_ids)
+    stored = materialize(pieces.withColumn("row_id", F.monotonically_increasing_id()), "pieces")
+    placed = pack(stored.drop("ids"), capacity)
+    return (placed.join(stored.select("row_id", "ids"), "row_id") if with_ids else placed).drop("row_id")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

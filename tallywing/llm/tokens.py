@@ -23,7 +23,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f᠎​-‏⁠
 #: Bytes that neither are control characters nor begin the code of other white space.
 _SAFE_BYTES = bytes(b for b in range(256) if b == 10 or (b >= 32 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF)))
 _REMEMBERED = 300_000
-_BATCH_CHARS = 4_500_000
+_BATCH_CHARS = 3_500_000
 _JOINED = 500
 
 _encoders: dict[str, WordEncoder] = {}
@@ -46,8 +46,8 @@ class WordEncoder:
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
         self._ids = np.empty(0, np.uint32)
-        self._starts = np.empty(0, np.int64)
-        self._sizes = np.empty(0, np.int64)
+        self._starts = np.empty(0, np.int32)
+        self._sizes = np.empty(0, np.int32)
         self._uses = np.empty(0, np.int64)
 
     def _thin_out(self) -> None:
@@ -59,7 +59,7 @@ class WordEncoder:
         starts, sizes = self._starts[keep], self._sizes[keep]
         ends = np.cumsum(sizes)
         self._ids = self._ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
-        self._starts, self._sizes, self._uses = ends - sizes, sizes, self._uses[keep] // 2
+        self._starts, self._sizes, self._uses = (ends - sizes).astype(np.int32), sizes, self._uses[keep] // 2
 
     def _whole(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch(list(texts), add_special_tokens=False)]
@@ -82,8 +82,8 @@ class WordEncoder:
         base = len(self._ids)
         self._known.update(zip(words, range(len(self._sizes), len(self._sizes) + len(words))))
         self._ids = np.concatenate([self._ids, flat])
-        self._starts = np.concatenate([self._starts, base + np.cumsum(sizes) - sizes])
-        self._sizes = np.concatenate([self._sizes, sizes])
+        self._starts = np.concatenate([self._starts, (base + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self._sizes = np.concatenate([self._sizes, sizes.astype(np.int32)])
         self._uses = np.concatenate([self._uses, np.zeros(len(words), np.int64)])
 
     def _regular(self, text: str) -> bool:
@@ -109,7 +109,7 @@ class WordEncoder:
         new = [w for w in words if w not in known]
         if new:
             self._learn(new)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
         self._uses += np.bincount(at, minlength=len(self._uses))
         heads = np.cumsum(counts) - counts
         first = [texts[k].replace("\n", " \n").split(" ", 1)[0] for k in regular]
@@ -117,10 +117,10 @@ class WordEncoder:
         sizes, starts = self._sizes[at], self._starts[at]
         sizes[heads] = first_sizes
         starts[heads] = len(self._ids) + np.cumsum(first_sizes) - first_sizes
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
         pool = np.concatenate([self._ids, first_ids])
-        flat = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        flat = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total, dtype=np.int32)]
         borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         lengths = np.zeros(len(texts), np.int64)
         lengths[regular] = np.diff(borders)
