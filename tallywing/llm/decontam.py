@@ -32,7 +32,7 @@ THRESHOLD = 0.5
 PENALTY = 0.5
 MAX_SENT_WORDS = 2_000_000
 _FILTER_BITS = 22
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 500_000
 _FOUND = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
 
 _BREAKS = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))

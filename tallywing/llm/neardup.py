@@ -35,7 +35,7 @@ from tallywing.session import materialize
 BANDS, ROWS = 48, 6
 BLOCK, LARGE = 1024, 8192
 SENT_IDS = 2_000_000
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)

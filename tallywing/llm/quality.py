@@ -32,7 +32,7 @@ FEATURES = ("log_words", "mean_word", "longest_word", "upper", "digits", "senten
             "words_per_line", "distinct_lines", "tripled_marks")
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 500_000
 
 
 def _classes() -> np.ndarray:
