@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare word n-grams as seeds, local alignment as the measure.
+"""Benchmark decontamination: word n-grams as seeds, local alignment as the measure.
 
-Every item's word n-grams are counted over all documents. From each short stretch of an
-item the rarest n-gram becomes a seed, so seeds are as rare as the item allows and still lie
-everywhere in it. Where seeds occur in a document, Smith-Waterman alignment of the item with
-the surrounding words scores the copy, edited or not: 1 per equal word, minus a half per
-changed, added or missing one, divided by the item's words.
+Every word n-gram of an item is a seed, and one hit is enough, so any copy that keeps three
+words in a row is looked at. Where seeds occur in a document, Smith-Waterman alignment of the
+item with the surrounding words scores the copy, edited or not: 1 per equal word, minus a
+half per changed, added or missing one, divided by the item's words. Places that share too
+few words with the item to reach the threshold are not aligned, which loses none. A copy
+without three of the item's words in a row is not found, whatever its score.
 
 The benchmark is sent to all tasks only if it has at most ``max_sent_words`` words; texts
-are then read twice and never shuffled. Larger benchmarks are joined on n-gram hashes.
+are then read once and never shuffled. Larger benchmarks are joined on n-gram hashes.
 
 Words are lower-cased and cut at white space and ASCII punctuation. Null and blank texts, and
 items with fewer words than a seed, match nothing. A null ``doc_id`` or ``item_id`` is never
@@ -21,13 +22,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywing.llm.neardup import _STEP, mix, word_hashes
 from tallywing.llm.tokens import slices
 from tallywing.session import materialize
 
-SEED_WORDS, STRETCH = 3, 2
+SEED_WORDS = 3
 THRESHOLD = 0.5
 PENALTY = 0.5
 MAX_SENT_WORDS = 2_000_000
@@ -127,6 +128,17 @@ def align(item: np.ndarray, places: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return best / len(item), first, last
 
 
+def _may_reach(item: np.ndarray, places: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether each word run shares ``least`` words with the item, repeats counted; no score is higher."""
+    known, number = np.unique(item, return_counts=True)
+    words = np.concatenate(places)
+    run = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    same = known[at] == words
+    shared = np.bincount(run[same] * len(known) + at[same], minlength=len(places) * len(known)).reshape(len(places), len(known))
+    return np.minimum(shared, number).sum(axis=1) >= least - 1e-9
+
+
 def _found_in(docs: list[tuple[int, np.ndarray]], items: list[np.ndarray], item_ids: np.ndarray,
               hits: dict[int, list[tuple[int, np.ndarray, np.ndarray]]], threshold: float) -> pd.DataFrame:
     """``hits``: per item the documents (place in ``docs``) with hit places in both."""
@@ -139,18 +151,16 @@ def _found_in(docs: list[tuple[int, np.ndarray]], items: list[np.ndarray], item_
                 runs.append(words[s:e])
                 owner.append((doc, s))
         for k in range(0, len(runs), 4096):
-            score, first, last = align(items[item], runs[k:k + 4096])
+            may = k + np.flatnonzero(_may_reach(items[item], runs[k:k + 4096], threshold * len(items[item])))
+            if not len(may):
+                continue
+            score, first, last = align(items[item], [runs[n] for n in may])
             for n in np.flatnonzero(score >= threshold):
-                doc, s = owner[k + n]
+                doc, s = owner[may[n]]
                 out.append((docs[doc][0], int(item_ids[item]), float(score[n]), s + int(first[n]), s + int(last[n])))
     return pd.DataFrame(out, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
 
-def _needed(seeds: int) -> int:
-    """Seeds of an item that have to hit before it is aligned: a tenth, at least one."""
-    return max(1, seeds // 10)
-
-
 def _gram_rows(frame: DataFrame, key: str) -> DataFrame:
     """key, pos, gram for every n-gram."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,13 +176,6 @@ def _keyed(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(F.col(key).cast("long").alias("k"), F.col("text").cast("string")).filter("k is not null")
 
 
-def _rarest(grams: DataFrame, frequency: DataFrame, item_key: str = "item") -> DataFrame:
-    """The rarest n-gram of every stretch of every item text."""
-    order = Window.partitionBy(item_key, F.floor(F.col("pos") / STRETCH)).orderBy("df", "pos")
-    counted = grams.join(frequency, "gram", "left").fillna({"df": 0})
-    return counted.withColumn("n", F.row_number().over(order)).filter("n = 1").select(item_key, "pos", "gram")
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                  max_sent_words: int = MAX_SENT_WORDS) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of every copy at or over ``threshold``.
@@ -192,35 +195,13 @@ def _by_sending(docs: DataFrame, items: DataFrame, threshold: float) -> DataFram
     item_ids = np.asarray([r["item_id"] for r in rows], np.int64)
     item_words = list(words_of([r["text"] for r in rows]))
     grams = [ngrams(w, SEED_WORDS) for w in item_words]
-    every = np.concatenate([np.empty(0, np.uint64), *grams])
-    sent_all = spark.sparkContext.broadcast(np.unique(every))
     of_docs = _keyed(docs, "doc_id")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = SeedIndex(sent_all.value)
-        df = np.zeros(len(index.hashes), np.int64)
-        for batch in batches:
-            for words in words_of(batch["text"].tolist()):
-                df[np.unique(index.find(ngrams(words, SEED_WORDS))[1])] += 1
-        some = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": index.hashes[some].view(np.int64), "df": df[some]})
-
-    counted = {r["gram"]: r["df"] for r in of_docs.mapInPandas(count, "gram bigint, df bigint")
-               .groupBy("gram").agg(F.sum("df").alias("df")).collect()}
-    seed_gram, seed_item, seed_pos = [], [], []
-    for k, of_item in enumerate(grams):
-        df = np.asarray([counted.get(g, 0) for g in of_item.view(np.int64).tolist()], np.int64)
-        for s in range(0, len(of_item), STRETCH):
-            p = s + int(df[s:s + STRETCH].argmin())
-            seed_gram.append(of_item[p])
-            seed_item.append(k)
-            seed_pos.append(p)
-    sent = spark.sparkContext.broadcast((np.asarray(seed_gram, np.uint64), np.asarray(seed_item, np.int64),
-                                         np.asarray(seed_pos, np.int64), item_words, item_ids,
-                                         np.asarray([_needed(n) for n in np.bincount(seed_item, minlength=len(grams))])))
+    sent = spark.sparkContext.broadcast((
+        np.concatenate([np.empty(0, np.uint64), *grams]), np.repeat(np.arange(len(grams)), [len(g) for g in grams]),
+        np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)]), item_words, item_ids))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, item_of, pos_of, all_words, names, needed = sent.value
+        gram, item_of, pos_of, all_words, names = sent.value
         index = SeedIndex(gram)
         for batch in batches:
             docs_held: list[tuple[int, np.ndarray]] = []
@@ -234,8 +215,7 @@ def _by_sending(docs: DataFrame, items: DataFrame, threshold: float) -> DataFram
                 at, seed = at[by_item], seed[by_item]
                 item, begin = np.unique(item_of[seed], return_index=True)
                 for k, s, e in zip(item.tolist(), begin, [*begin[1:], len(seed)]):
-                    if len(np.unique(seed[s:e])) >= needed[k]:
-                        hits.setdefault(k, []).append((len(docs_held) - 1, at[s:e], pos_of[seed[s:e]]))
+                    hits.setdefault(k, []).append((len(docs_held) - 1, at[s:e], pos_of[seed[s:e]]))
             if hits:
                 yield _found_in(docs_held, all_words, names, hits, threshold)
 
@@ -246,15 +226,8 @@ def _by_joining(docs: DataFrame, items: DataFrame, threshold: float) -> DataFram
     """The same for a benchmark of any size: n-grams meet in a shuffle join on their hash."""
     keyed = materialize(items.distinct().withColumn("item", F.xxhash64("item_id", "text")), "items")
     of_items = materialize(_gram_rows(keyed.select("item", "text"), "item"), "item-grams")
-    # A document's n-gram meets distinct n-grams of items first, which bounds the join.
-    met = materialize(_gram_rows(docs, "doc_id").join(of_items.select("gram").distinct(), "gram"), "met")
-    frequency = met.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    seeds = materialize(_rarest(of_items, frequency), "seeds")
-    enough = seeds.groupBy("item").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("needed"))
-    hits = met.join(seeds.withColumnRenamed("pos", "item_pos"), "gram") \
-        .groupBy("doc_id", "item").agg(F.collect_list("pos").alias("at_doc"), F.collect_list("item_pos").alias("at_item"),
-                                       F.count_distinct("item_pos").alias("seen")) \
-        .join(enough, "item").filter("seen >= needed")
+    hits = _gram_rows(docs, "doc_id").join(of_items.withColumnRenamed("pos", "item_pos"), "gram") \
+        .groupBy("doc_id", "item").agg(F.collect_list("pos").alias("at_doc"), F.collect_list("item_pos").alias("at_item"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -74,6 +74,31 @@ def test_edited_copies_are_found(leaks, sent):
     assert exact.score == 1.0 and (exact.start_word, exact.end_word) == (50, 80)
 
 
+@pytest.mark.parametrize("sent", [decontam.MAX_SENT_WORDS, 0])
+def test_copies_with_every_fourth_word_replaced(spark, make_docs, sent):
+    items, rows = [], []
+    for n in range(12, 21):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        copy = ["other" if k % 4 == 3 else w for k, w in enumerate(words)]
+        assert plain_alignment(words, copy) >= decontam.THRESHOLD
+        rows.append((n, f"some text before {' '.join(copy)} and after"))
+    # Another document has single words of them only.
+    rows.append((99, " x ".join(t.split()[0] for _, t in items)))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contaminated(make_docs(rows), benchmark, max_sent_words=sent).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(n, n) for n in range(12, 21)}
+
+
+def test_places_with_too_few_shared_words_only_are_left_out():
+    rng = random.Random(4)
+    for _ in range(200):
+        item = [rng.randrange(8) for _ in range(rng.randrange(3, 12))]
+        runs = [[rng.randrange(12) for _ in range(rng.randrange(0, 25))] for _ in range(4)]
+        may = decontam._may_reach(np.asarray(item, np.uint64), [np.asarray(r, np.uint64) for r in runs], 0.5 * len(item))
+        assert all(m or plain_alignment(item, r) < 0.5 for m, r in zip(may, runs))
+
+
 def test_no_items_or_documents(spark, make_docs, leaks):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.contaminated(leaks[0], none).count() == 0
