@@ -7,7 +7,9 @@ context what confirmed spans look like; the deciding marks of the checks (checks
 exact pattern) are not among their features. A candidate is taken if its score reaches the
 level that nine of ten confirmed spans of its kind reach, at least a half, and it meets no
 base span. What has the base pattern but fails its check, such as a number of a card's length
-with a wrong checksum, is learnt as an example against and never taken. Trees are fitted on the candidates of at most ``max_docs`` documents, those with
+with a wrong checksum, is learnt as an example against and never taken. Inside a match that
+fails, as when a card or phone number touches another number, every run of whole digit groups
+with a number's digits is a candidate of its own; of runs that meet, the best is taken. Trees are fitted on the candidates of at most ``max_docs`` documents, those with
 the least hash of their ``doc_id``, and scored as plain SQL expressions.
 
 Only DataFrame functions are used. A pattern's matches and the pieces between them give all
@@ -22,6 +24,7 @@ Empty tables give an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,6 +47,8 @@ CANDIDATES = {
     "card": r"(?:(?<![0-9])|\G)[0-9]{2,}+(?:[\x20./_-]?[0-9]++)*+",
     "phone": r"(?:\+\x20?)?+[(0-9][\x20()./0-9-]+[0-9]",
 }
+#: Digits of a run inside a match.
+RUN_DIGITS = {"card": (14, 19), "phone": (10, 15)}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters that must occur for a pattern to have any match.
 _NEEDS = {"email": r"@|at[)\]}]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
@@ -124,6 +129,61 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.withColumn("base", F.array_sort(F.concat(*parts))).drop(*(f"_base_{k}" for k in KINDS))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(sizes: Column) -> Column:
+    """Sum of the sizes before each, in blocks, so that no long array is copied for every element."""
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def block(begin: Column, at: Column) -> Column:
+        return F.aggregate(
+            F.sequence(begin, F.least(begin + 256, F.size(sizes)) - 1), F.struct(at.alias("at"), none.alias("all")),
+            lambda s, k: F.struct((s["at"] + F.get(sizes, k)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
+
+    def add(done: Column, begin: Column) -> Column:
+        return _let(block(begin, done["at"]), lambda b: F.struct(
+            b["at"].alias("at"), F.concat(done["all"], F.array(b["all"])).alias("all")))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<bigint>>)").alias("all"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(256)), start, add, lambda s: F.flatten(s["all"]))
+
+
+def _runs(kind: str, x: Column) -> Column:
+    """Spans inside a match: runs of whole digit groups with as many digits as the kind has, a sign only at the first."""
+    few, many = RUN_DIGITS[kind]
+
+    def of(pieces: Column, windows: Column, offsets: Column, prefix: Column) -> Column:
+        def at_group(window: Column, i: Column) -> Column:
+            found = F.filter(F.array(*(F.regexp_extract(window, rf"^(?:[0-9][^0-9]*+){{{d - 1}}}[0-9](?![0-9])", 0)
+                                       for d in range(few, many + 1))), lambda run: run != "")
+            first, begin = i == 0, x["start"] + F.char_length(prefix) + F.get(offsets, i)
+            # Groups before it, as far as the context of any candidate goes.
+            told = F.concat(F.when(i <= 12, F.concat(x["left"], prefix)).otherwise(""),
+                            *(F.coalesce(F.get(pieces, i - k), F.lit("")) for k in range(12, 0, -1)))
+            left = F.when(first, x["left"]).otherwise(F.right(told, F.lit(24)))
+
+            def span(run: Column) -> Column:
+                after = F.substr(window, F.char_length(run) + 1, F.lit(2))
+                return F.struct(F.when(first, x["start"]).otherwise(begin).alias("start"), (begin + F.char_length(run)).alias("end"),
+                                F.when(first, F.concat(prefix, run)).otherwise(run).alias("match"), left.alias("left"),
+                                F.when(after == "", x["right"]).otherwise(after).alias("right"))
+
+            return F.transform(found, span)
+
+        return F.flatten(F.transform(windows, at_group))
+
+    # From each group: as many groups as the longest run can have.
+    window = r"(?<![0-9])(?=[0-9])(?=((?:[0-9]{1,19}+(?![0-9])[^0-9]*+){0,20}+))"
+    runs = _let(F.regexp_extract_all(x["match"], F.lit("[0-9]+[^0-9]*"), F.lit(0)), lambda pieces: _let(
+        F.regexp_extract_all(x["match"], F.lit(window), F.lit(1)), lambda windows: _let(
+            F.transform(pieces, lambda p: F.char_length(p).cast("long")), lambda sizes: _let(
+                _before(sizes), lambda offsets: of(pieces, windows, offsets, F.regexp_extract(x["match"], "^[^0-9]*", 0))))))
+    return F.filter(runs, lambda r: F.char_length(r["match"]) < F.char_length(x["match"]))
+
+
 def _features(kind: str, x: Column) -> Column:
     match, left = x["match"], F.lower(x["left"])
     groups = F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0))
@@ -143,15 +203,25 @@ def _features(kind: str, x: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``candidates``: start, kind, end, features, regular (the base pattern fits), confirmed (its check too)."""
+    """Adds ``candidates``: start, kind, end, features, regular (the base pattern fits), confirmed (its check too).
+
+    ``inner`` has the same of the runs inside matches that are not confirmed."""
     found = _found(docs, CANDIDATES, "_wide")
 
-    def described(kind: str) -> Column:
+    def fits(kind: str, x: Column) -> Column:
+        return x["match"].rlike(rf"^(?:{BASE[kind]})$") & passes(kind, x["match"])
+
+    def inside(kind: str) -> Column:
+        several = F.filter(f"_wide_{kind}", lambda x: x["match"].rlike("[0-9][^0-9]+[0-9]") & ~fits(kind, x)
+                           & (F.char_length(_digits(x["match"])) > RUN_DIGITS[kind][0]))
+        return F.flatten(F.transform(several, lambda x: _runs(kind, x)))
+
+    def described(kind: str, spans: str) -> Column:
         whole = rf"^(?:{BASE[kind]})$"
-        return F.transform(F.col(f"_wide_{kind}"), lambda x: F.struct(
+        return F.transform(F.col(spans), lambda x: F.struct(
             x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"),
             _features(kind, x).alias("features"), x["match"].rlike(whole).alias("regular"),
-            (x["match"].rlike(whole) & passes(kind, x["match"])).alias("confirmed")))
+            fits(kind, x).alias("confirmed")))
 
     # Short numbers are no candidates of any kind.
     enough = {"email": 0, "ip": 4, "card": 12, "phone": 7}
@@ -161,7 +231,10 @@ def candidates(docs: DataFrame) -> DataFrame:
                         & (F.char_length(_digits(x["match"])) >= enough[kind]))
 
     found = found.withColumns({f"_wide_{k}": long_enough(k) for k in KINDS})
-    return found.withColumn("candidates", F.concat(*(described(k) for k in KINDS))).drop(*(f"_wide_{k}" for k in KINDS))
+    found = found.withColumns({f"_inner_{k}": inside(k) for k in RUN_DIGITS})
+    found = found.withColumn("candidates", F.concat(*(described(k, f"_wide_{k}") for k in KINDS))) \
+        .withColumn("inner", F.concat(*(described(k, f"_inner_{k}") for k in RUN_DIGITS)))
+    return found.drop(*(f"_wide_{k}" for k in KINDS), *(f"_inner_{k}" for k in RUN_DIGITS))
 
 
 class BoostedTrees:
@@ -176,11 +249,14 @@ class BoostedTrees:
             total = total + _tree_column(tree, features) * weight
         return 1 / (1 + F.exp(-2 * total))
 
-    def accepts(self, candidate: Column) -> Column:
+    def least_of(self, kind: Column) -> Column:
         least = F.lit(2.0)
-        for kind, value in self.least.items():
-            least = F.when(candidate["kind"] == kind, F.lit(value)).otherwise(least)
-        return self.probability(candidate["features"]) >= least
+        for k, value in self.least.items():
+            least = F.when(kind == k, F.lit(value)).otherwise(least)
+        return least
+
+    def accepts(self, candidate: Column) -> Column:
+        return self.probability(candidate["features"]) >= self.least_of(candidate["kind"])
 
 
 def _tree_column(described: str, features: Column) -> Column:
@@ -211,7 +287,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, trees: int = 12, depth: i
     # At most max_docs numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
         .join(F.broadcast(chosen), "doc_id")
-    rows = candidates(texts).select("doc_id", F.explode("candidates").alias("c")).select(
+    rows = candidates(texts).select("doc_id", F.explode(F.concat("candidates", "inner")).alias("c")).select(
         array_to_vector("c.features").alias("features"), "c.kind", F.col("c.features").alias("given"),
         F.col("c.confirmed").cast("double").alias("label"),
         F.pmod(F.xxhash64("doc_id", "c.start", "c.kind"), F.lit(5)).alias("fold")).drop("c")
@@ -237,9 +313,31 @@ def all_spans(docs: DataFrame, model: BoostedTrees | None) -> DataFrame:
     if model is None:
         return found.withColumn("spans", F.col("base"))
     found = candidates(found).withColumn("_taken", F.filter("candidates", lambda c: ~c["regular"] & model.accepts(c)))
-    apart = F.filter("_taken", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    added = F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return found.withColumn("spans", F.array_sort(F.concat("base", added))).drop("_taken", "candidates")
+
+    def meets(spans: str, c: Column) -> Column:
+        return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    found = found.withColumn("_taken", F.filter("_taken", lambda c: ~meets("base", c)))
+    scored = F.transform("inner", lambda c: F.struct(
+        c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["regular"].alias("regular"),
+        c["confirmed"].alias("confirmed"), model.probability(c["features"]).alias("score")))
+    found = found.withColumn("_scored", scored).withColumn("_inner", F.array_sort(F.filter(
+        "_scored", lambda c: (c["confirmed"] | ~c["regular"]) & (c["score"] >= model.least_of(c["kind"])) & ~meets("base", c)
+        & (c["confirmed"] | ~meets("_taken", c)))))
+    none = F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint, regular: boolean, confirmed: boolean, score: double>>)")
+
+    def rank(c: Column) -> Column:
+        return F.struct(c["confirmed"], c["score"], c["end"] - c["start"])
+
+    def best(done: Column, c: Column) -> Column:
+        last = F.element_at(done, -1)
+        return F.when(F.size(done) == 0, F.array(c)).when(c["start"] >= last["end"], F.concat(done, F.array(c))) \
+            .when(rank(c) > rank(last), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(c))).otherwise(done)
+
+    found = found.withColumn("_best", F.aggregate("_inner", none, best))
+    added = (F.transform(x, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+             for x in ("_taken", "_best"))
+    return found.withColumn("spans", F.array_sort(F.concat("base", *added))).drop("_taken", "_scored", "_inner", "_best", "candidates", "inner")
 
 
 def told(spans: Column) -> Column:

@@ -193,6 +193,49 @@ def test_method_adds_spans_and_redacts(make_docs):
     assert clean[9000].text is None and clean[9001].text == "" and clean[None].text == "<EMAIL>" and clean[1].lang == "en"
 
 
+def runs_of(kind, match):
+    """Runs of digit groups inside a match by plain loops: start, end."""
+    few, many = pii.RUN_DIGITS[kind]
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", match)]
+    return sorted((0 if i == 0 else groups[i][0], groups[j][1]) for i in range(len(groups)) for j in range(i, len(groups))
+                  if few <= sum(e - s for s, e in groups[i:j + 1]) <= many and (i > 0 or j < len(groups) - 1))
+
+
+def test_runs_inside_a_match_equal_plain_loops(spark):
+    rng = random.Random(9)
+    rows = ["4111 1111 1111 1111 123", "+1 408 555 1234 129.38.82.176", "+ (1) 22", "1 " * 700 + "1", "9" * 5000 + " 1234 567890 " + "9" * 30]
+    rows += ["+(" * rng.randrange(2) + "".join(str(rng.randrange(10)) * rng.randrange(1, 6) + rng.choice(" .-(") * rng.randrange(1, 4)
+                                              for _ in range(rng.randrange(1, 30))) + "7" for _ in range(100)]
+    matches = spark.createDataFrame([(m,) for m in rows], "match string").select(F.struct(
+        F.lit(5).cast("long").alias("start"), "match", F.lit("tel ").alias("left"), F.lit("").alias("right")).alias("x"))
+    for r in matches.select("x.match", *(pii._runs(k, F.col("x")).alias(k) for k in pii.RUN_DIGITS)).collect():
+        for kind in pii.RUN_DIGITS:
+            assert sorted((s.start - 5, s.end - 5) for s in r[kind]) == runs_of(kind, r.match), r.match
+            assert all(s.match == r.match[s.start - 5:s.end - 5] for s in r[kind])
+            assert all(s.left == ("tel " + r.match[:s.start - 5])[-24:] for s in r[kind] if s.left and len(s.left) == 24)
+
+
+def test_numbers_that_touch_another_number(make_docs):
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        tail = "".join(str(rng.randrange(10)) for _ in range(4))
+        card = "4111 1111 " + tail + " "
+        last = next(n for n in range(1000, 1010) if checked("card", card + str(n)))
+        rows += [(4 * k, f"call +1 408 555 {tail} {prose(rng, 5)}"), (4 * k + 1, f"card {card}{last} {prose(rng, 4)}"),
+                 (4 * k + 2, f"card {card}{last + (k % 6 == 0)} {prose(rng, 4)}"), (4 * k + 3, f"host 10.0.{k % 256}.7 {prose(rng, 3)}")]
+    texts = {9000: "card 4111 1111 1111 1111 123 and more", 9001: "call +1 408 555 1234 129.38.82.176 now"}
+    docs = make_docs(rows + list(texts.items()))
+    model = pii.fit(docs)
+    found = {r.doc_id: r for r in pii.all_spans(docs, model).collect()}
+    assert [tuple(s) for s in found[9000].base] == [] and (5, 2, 24) in [tuple(s) for s in found[9000].spans]
+    assert [tuple(s) for s in found[9001].spans] == [(5, 3, 20), (21, 1, 34)]
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    assert clean[9001] == "call <PHONE> <IP> now" and "4111" not in clean[9000]
+    # A card's number that fails its check stays.
+    assert not any(s.kind == 2 for k in range(0, 300, 6) for s in found[4 * k + 2].spans)
+
+
 def test_overlapping_spans_are_redacted_once(make_docs):
     docs = make_docs([(1, "é😀 +1 408 555 1234 129.38.82.176 x 10.0.0.1"), (2, "nothing")])
     got = {r.doc_id: r.text for r in pii.redact(docs, None).collect()}
