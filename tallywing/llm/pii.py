@@ -10,7 +10,9 @@ base span. What has the base pattern but fails its check, such as a number of a
 with a wrong checksum, is learnt as an example against and never taken. Inside a match that
 fails, as when a card or phone number touches another number, every run of whole digit groups
 with a number's digits is a candidate of its own; of runs that meet, the best is taken. Trees are fitted on the candidates of at most ``max_docs`` documents, those with
-the least hash of their ``doc_id``, and scored as plain SQL expressions.
+the least hash of their ``doc_id``, and scored as plain SQL expressions; levels come from the
+confirmed spans of all documents that the trees were not fitted on. A kind without any has the
+level of a half.
 
 Only DataFrame functions are used. A pattern's matches and the pieces between them give all
 positions in one pass, in code points; possessive patterns that start at the border of a run
@@ -202,10 +204,11 @@ def _features(kind: str, x: Column) -> Column:
     return F.array(*(F.least(flags[f].cast("float"), F.lit(1000.0).cast("float")) for f in FEATURES))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, confirmed_only: bool = False) -> DataFrame:
     """Adds ``candidates``: start, kind, end, features, regular (the base pattern fits), confirmed (its check too).
 
-    ``inner`` has the same of the runs inside matches that are not confirmed."""
+    ``inner`` has the same of the runs inside matches that are not confirmed. With ``confirmed_only``
+    there are only confirmed candidates and no ``inner``."""
     found = _found(docs, CANDIDATES, "_wide")
 
     def fits(kind: str, x: Column) -> Column:
@@ -228,9 +231,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def long_enough(kind: str) -> Column:
         return F.filter(f"_wide_{kind}", lambda x: (F.char_length(x["match"]) > 5)
-                        & (F.char_length(_digits(x["match"])) >= enough[kind]))
+                        & (F.char_length(_digits(x["match"])) >= enough[kind]) & (fits(kind, x) if confirmed_only else F.lit(True)))
 
     found = found.withColumns({f"_wide_{k}": long_enough(k) for k in KINDS})
+    if confirmed_only:
+        return found.withColumn("candidates", F.concat(*(described(k, f"_wide_{k}") for k in KINDS))).drop(*(f"_wide_{k}" for k in KINDS))
     found = found.withColumns({f"_inner_{k}": inside(k) for k in RUN_DIGITS})
     found = found.withColumn("candidates", F.concat(*(described(k, f"_wide_{k}") for k in KINDS))) \
         .withColumn("inner", F.concat(*(described(k, f"_inner_{k}") for k in RUN_DIGITS)))
@@ -250,7 +255,7 @@ class BoostedTrees:
         return 1 / (1 + F.exp(-2 * total))
 
     def least_of(self, kind: Column) -> Column:
-        least = F.lit(2.0)
+        least = F.lit(LEAST_SCORE)
         for k, value in self.least.items():
             least = F.when(kind == k, F.lit(value)).otherwise(least)
         return least
@@ -276,7 +281,7 @@ def _tree_column(described: str, features: Column) -> Column:
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, trees: int = 12, depth: int = 3) -> BoostedTrees | None:
-    """Trees over the candidates of a bounded sample of documents; every fifth one sets the thresholds."""
+    """Trees over four fifths of the candidates of a bounded sample of documents; all others set the thresholds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -285,12 +290,13 @@ def fit(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, trees: int = 12, depth: i
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct() \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     # At most max_docs numbers.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
-        .join(F.broadcast(chosen), "doc_id")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = every.join(F.broadcast(chosen), "doc_id")
+    fold = F.pmod(F.xxhash64("doc_id", "c.start", "c.kind"), F.lit(5))
     rows = candidates(texts).select("doc_id", F.explode(F.concat("candidates", "inner")).alias("c")).select(
         array_to_vector("c.features").alias("features"), "c.kind", F.col("c.features").alias("given"),
         F.col("c.confirmed").cast("double").alias("label"),
-        F.pmod(F.xxhash64("doc_id", "c.start", "c.kind"), F.lit(5)).alias("fold")).drop("c")
+        fold.alias("fold")).drop("c")
     stored = materialize(rows.select("kind", "given", "label", "fold"), "candidates")
     sample = stored.select("kind", "given", "label", "fold", array_to_vector("given").alias("features"))
     learnt = sample.filter("fold > 0")
@@ -299,10 +305,12 @@ def fit(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, trees: int = 12, depth: i
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32,
                           stepSize=0.3, seed=7).fit(learnt.coalesce(2))
     found = BoostedTrees([t.toDebugString for t in model.trees], list(model.treeWeights), {})
+    confirmed = candidates(every, confirmed_only=True).select("doc_id", F.explode("candidates").alias("c")) \
+        .join(F.broadcast(chosen.withColumn("sampled", F.lit(True))), "doc_id", "left").filter(F.col("sampled").isNull() | (fold == 0))
     # Inside a lambda, where the long expression is not compiled into one method.
-    score = F.get(F.transform(F.array("given"), found.probability), F.lit(0))
-    levels = stored.filter("fold = 0 and label = 1").select("kind", score.alias("score")).groupBy("kind").agg(
-        F.percentile("score", F.lit(CONFIRMED_SHARE)).alias("level")).collect()
+    score = F.get(F.transform(F.array("c.features"), found.probability), F.lit(0))
+    levels = confirmed.select("c.kind", score.alias("score")).groupBy("kind").agg(
+        F.percentile_approx("score", F.lit(CONFIRMED_SHARE)).alias("level")).collect()
     found.least = {r["kind"]: max(LEAST_SCORE, r["level"] - 1e-9) for r in levels}
     return found
 

@@ -193,6 +193,18 @@ def test_method_adds_spans_and_redacts(make_docs):
     assert clean[9000].text is None and clean[9001].text == "" and clean[None].text == "<EMAIL>" and clean[1].lang == "en"
 
 
+def test_levels_come_from_all_documents(make_docs):
+    rng = random.Random(7)
+    rows = [(k, f"call +1 408 555 {1000 + k} {prose(rng, 4)} number 12.34.56.{k}.7") for k in range(60)]
+    # Addresses occur only outside the sample; a card never does.
+    order = [r.doc_id for r in make_docs(rows).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rare = set(order[40:])
+    docs = make_docs([(k, f"write to n{k}@mail.example.org" if k in rare else t) for k, t in rows])
+    model = pii.fit(docs, max_docs=40)
+    assert {pii.KINDS[k] for k in model.least} == {"email", "phone"}
+    assert docs.limit(1).select(model.least_of(F.lit(2)).alias("x")).first().x == pii.LEAST_SCORE
+
+
 def runs_of(kind, match):
     """Runs of digit groups inside a match by plain loops: start, end."""
     few, many = pii.RUN_DIGITS[kind]
