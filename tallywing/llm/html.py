@@ -7,6 +7,12 @@ template agree. Votes are summed per host in Spark; each page is then extracted
 the containers at the best path of its host that it has, or from its own best container if
 it has none of them.
 
+Elements whose class, id or role has a word such as sidebar are left out, unless they are main
+or article, hold all top headings or most of the page's text outside links: then they wrap the
+article. Words for boxes with text of their own, such as comments or cookie, need nine tenths of
+the text and no heading counts. A word after has, with or no marks nothing. If nothing else has
+text, no such mark counts.
+
 Null html and pages without text give an empty string. A null URL, or one without a host,
 belongs to one nameless host. Repeated rows are pages of their own that vote each. Unclosed
 and crossed tags are repaired as far as paragraphs, list items and table cells go; a tag that
@@ -49,6 +55,12 @@ _ASIDE_WORD = re.compile(r"""^(?:ad|ads|advert|adverts|advertisement|advertising
     |widget|widgets|comment|comments|disqus|respond|reply|replies|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal
     |newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|teaser|teasers
     |toolbar|search|contentinfo|complementary|form|forms)$""", re.X)
+#: Those of them that name boxes with much text of their own.
+_BOX_WORD = re.compile(r"""^(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|comment|comments|disqus
+    |respond|reply|replies|cookie|cookies|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|related|recommended
+    |recommendations|teaser|teasers)$""", re.X)
+_DENIES = frozenset(["has", "with", "no"])
+WRAPPER_SHARE, BOX_SHARE = 0.5, 0.9
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: An element ends when one of these begins inside it.
 _ENDS = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -84,24 +96,55 @@ class Page:
         return "\n".join(t for k, t in self.blocks if inside[k])
 
 
-def _names(rest: str) -> tuple[str, bool]:
-    """The generalised class of a tag, and whether its attributes mark it as no article text."""
-    kind, aside = "", False
+def _names(rest: str) -> tuple[str, bool, str]:
+    """The generalised class of a tag, whether it is hidden, and what its words mark it as: box, aside or nothing."""
+    kind, hidden, mark = "", False, ""
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            aside = True
+            hidden = True
             continue
-        aside = aside or any(_ASIDE_WORD.match(w.lower()) for w in _WORD.findall(value))
+        for token in value.split():
+            before = ""
+            for word in map(str.lower, _WORD.findall(token)):
+                if before not in _DENIES and _ASIDE_WORD.match(word):
+                    mark = "box" if mark == "box" or _BOX_WORD.match(word) else "aside"
+                before = word
         if name == "class":
             kind = ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
-    return kind, aside
+    return kind, hidden, mark
 
 
 def parse(source: str) -> Page:
+    """The page; a second and third look if marked elements turn out to wrap the article."""
+    page, marks = _parse(source, frozenset())
+    if marks:
+        text, heads = marks[0].text, marks[0].heads
+        spared = frozenset(k for k, m in enumerate(marks) if k and (
+            m.text > BOX_SHARE * text if m.kind == "box" else m.text > WRAPPER_SHARE * text or 0 < heads == m.heads))
+        if spared:
+            page, _ = _parse(source, spared)
+        if not page.blocks:
+            page, _ = _parse(source, frozenset(range(len(marks))))
+    return page
+
+
+@dataclass
+class Mark:
+    """A marked element, or the page: text outside links and top headings inside it."""
+
+    kind: str
+    parent: int
+    text: int = 0
+    heads: int = 0
+
+
+def _parse(source: str, spared: frozenset[int]) -> tuple[Page, list[Mark]]:
+    """The page and its marked elements after the page itself, none if there are none; ``spared`` ones count as unmarked."""
+    marks = [Mark("", 0)]
     page = Page(["/"], [0], [0], [0.0])
-    # Open elements: tag, container, whether aside, whether in a link.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # Open elements: tag, container, whether aside, whether in a link, marked element (-1: aside whatever the marks).
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
     pending: list[str] = []
     linked = 0
 
@@ -111,7 +154,9 @@ def parse(source: str) -> Page:
             text = " ".join("".join(pending).split())
             pending.clear()
             if text:
-                _, container, aside, _ = stack[-1]
+                _, container, aside, _, mark = stack[-1]
+                if mark >= 0:
+                    marks[mark].text += len(text) - min(linked, len(text))
                 page.worth[container] += -len(text) if aside else len(text) - 2 * min(linked, len(text))
                 if not aside:
                     page.blocks.append((container, text))
@@ -126,7 +171,7 @@ def parse(source: str) -> Page:
                 linked += len(text)
 
     def close_to(depth: int) -> None:
-        if any(s[0] in _BLOCK or s[2] != stack[depth - 1][2] for s in stack[depth:]):
+        if any(s[0] in _BLOCK or s[2] != stack[depth - 1][2] or s[4] != stack[depth - 1][4] for s in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -161,11 +206,21 @@ def parse(source: str) -> Page:
             continue
         if tag in _VOID:
             continue
-        _, container, aside, link = stack[-1]
-        kind, marked = _names(token["rest"]) if token["rest"] else ("", False)
-        away = aside or tag in _ASIDE or (marked and tag not in ("body", "html"))
-        if away != aside:
+        _, container, aside, link, inside = stack[-1]
+        kind, hidden, mark = _names(token["rest"]) if token["rest"] else ("", False, "")
+        away, within = aside, inside
+        if tag in ("body", "html"):
+            pass
+        elif tag in _ASIDE or hidden:
+            away, within = True, -1
+        elif mark and inside >= 0 and tag not in ("main", "article"):
+            marks.append(Mark(mark, inside))
+            within = len(marks) - 1
+            away = aside or within not in spared
+        if away != aside or within != inside:
             flush()
+        if tag == "h1" and within >= 0:
+            marks[within].heads += 1
         if tag in _CONTAINER and not away:
             page.paths.append(f"{page.paths[container].rstrip('/')}/{tag}" + (f".{kind}" if kind else ""))
             page.parents.append(container)
@@ -173,10 +228,13 @@ def parse(source: str) -> Page:
             page.worth.append(0.0)
             container = len(page.paths) - 1
         if not token["rest"].endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, container, away, link or tag == "a"))
+            stack.append((tag, container, away, link or tag == "a", within))
     say(source[at:])
     flush()
-    return page
+    for m in reversed(marks[1:]):
+        marks[m.parent].text += m.text
+        marks[m.parent].heads += m.heads
+    return page, marks if len(marks) > 1 else []
 
 
 def votes_of(page: Page) -> dict[str, float]:

@@ -28,6 +28,25 @@ def test_single_pages(source, text):
     assert page.text({page.best()}) == text
 
 
+STORY = "<p>Story of some length, told in a paragraph.</p><p>And another one.</p>"
+
+
+@pytest.mark.parametrize("wrapper, end", [
+    ("<main class='site-main no-sidebar'>", "</main>"), ("<div class='content with-sidebar'>", "</div>"),
+    ("<div id='page' class='header-fixed'>", "</div>"), ("<article class='related'>", "</article>"), ("<div class='has-comments'>", "</div>"),
+    ("<div class='comments-open'>", "</div>"), ("<div class='widget'><div class='search-on'>", "</div></div>")])
+def test_wrappers_with_a_marking_word_keep_the_article(wrapper, end):
+    page = html.parse(f"<body><nav>Menu of the site</nav>{wrapper}{STORY}<div class='sidebar'>Side text</div>{end}<footer>host</footer></body>")
+    assert page.text({page.best()}) == "Story of some length, told in a paragraph.\nAnd another one."
+    assert html.votes_of(page)
+
+
+def test_boxes_longer_than_the_article_stay_out():
+    boxes = "<div class='comments'><p>" + "Words of a reader. " * 8 + "</p></div><div class='menu'>" + "<a>Some link text</a> " * 40 + "</div>"
+    page = html.parse(f"<div class='post'>{STORY}</div>{boxes}")
+    assert page.text({page.best()}) == "Story of some length, told in a paragraph.\nAnd another one."
+
+
 def test_host_consensus(spark):
     body = "<div class='post-{k}'><p>Story {k} with a number of words in it.</p></div><div class='links-{k}'><p>{more}</p></div>"
     rows = [(k, "http://h.org/x", body.format(k=k, more="<a>Some other stories</a>")) for k in range(9)]
