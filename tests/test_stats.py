@@ -59,7 +59,7 @@ def test_spearman_equals_ranked_correlation(spark):
     x = [rng.randrange(5) for _ in range(200)]
     y = [a + rng.randrange(7) for a in x]
     (row,) = rows(stats.spearman(frame(spark, list(zip(map(float, x), map(float, y))),
-                                       "x double, y double"), "x", "y", 1.0, 2.0))
+                                       "x double, y double"), "x", "y"))
     assert row["rho"] == pytest.approx(np.corrcoef(_ranks(x), _ranks(y))[0, 1])
     assert row["n"] == 200
 
