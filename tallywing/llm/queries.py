@@ -9,7 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywing.llm import ann, bitpack, chat, decontam, html, neardup, packing, pii, quality, urls
+from tallywing.llm import (
+    ann, bitpack, chat, decontam, divergence, fingerprints, html, neardup, packing, pii, quality, repair, urls)
 from tallywing.session import materialize, work_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -153,9 +154,133 @@ def op10_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_tokens(spark, path)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults, chosen by a checksum of conversation and turn."""
+    def plain(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn")).cast("binary")) % 20
+    role = F.when(fate == 4, "user").otherwise(plain("role"))
+    text = F.when(fate == 1, "").when(fate == 2, F.translate(plain("text"), ".!?", "")).otherwise(plain("text"))
+    copies = F.when(fate == 3, 2).otherwise(1)
+    return turns.filter(fate != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"),
+                                          F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
+    faulty = damaged(turns)
+    found = materialize(repair.audits(faulty), "audits")
+    left = repair.digests(repair.repaired_turns(faulty, found))
+    given = turns.select(F.col("conv_id").alias("given")).distinct()
+    rows = given.join(found, F.col("given").eqNullSafe(F.col("conv_id")), "left").drop("conv_id") \
+        .join(left, F.col("given").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(F.col("given").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: The edits by dynamic programming: per row the least (cost, audit) for each state s0 (nothing yet),
+#: s1 (a system turn), s2 (a user turn last), s3 (an assistant turn last); strings are joined in order of rows.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+        ELSE c >> 1 END, n)) AS t),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations),
+dealt AS (SELECT g.*, xor(list_reduce(list_transform(string_split(key, ''), lambda ch: ascii(ch)::bigint),
+                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 20 AS fate FROM given g, crc_table),
+faulty AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                  CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                  unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM dealt WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+                  regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS stem FROM faulty),
+seen AS (SELECT *, min(i) OVER (PARTITION BY conv_id, role, text) AS first FROM placed),
+told AS (SELECT *, CASE WHEN stem = '' THEN 'blank' WHEN i > first THEN 'duplicate'
+                        WHEN right(stem, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM seen),
+stepped AS (SELECT *, left(role, 1) AS own, fault IS NOT DISTINCT FROM 'blank' OR fault IS NOT DISTINCT FROM 'duplicate' AS must_go,
+                   CASE WHEN fault IS NOT DISTINCT FROM 'truncated' THEN 1 ELSE 0 END AS extra,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM told),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM stepped GROUP BY conv_id),
+search AS (
+    SELECT conv_id, n, 0 AS i, {'c': 0, 'a': ''} AS s0, {'c': 1000000000, 'a': ''} AS s1, {'c': 2, 'a': 'I'} AS s2,
+           {'c': 4, 'a': 'II'} AS s3 FROM counted
+    UNION ALL
+    SELECT conv_id, n, i, s0, s1, u AS s2, list_min([s3, {'c': u.c + 2, 'a': u.a || 'I'}]) AS s3
+    FROM (SELECT conv_id, n, i, s0, s1, s3, list_min([s2, {'c': s0.c + 2, 'a': s0.a || 'I'}, {'c': s1.c + 2, 'a': s1.a || 'I'},
+                                                      {'c': s3.c + 2, 'a': s3.a || 'I'}]) AS u
+          FROM (SELECT s.conv_id, n, r.i, {'c': s0.c + 3, 'a': s0.a || 'D'} AS s0,
+                       list_min([{'c': s1.c + 3, 'a': s1.a || 'D'},
+                                 {'c': s0.c + CASE WHEN own = 's' AND NOT must_go THEN extra ELSE 1000000000 END, 'a': s0.a || 'K'}]) AS s1,
+                       list_min([{'c': s2.c + 3, 'a': s2.a || 'D'},
+                                 {'c': s0.c + CASE WHEN own = 'u' AND NOT must_go THEN extra ELSE 1000000000 END, 'a': s0.a || 'K'},
+                                 {'c': s1.c + CASE WHEN own = 'u' AND NOT must_go THEN extra ELSE 1000000000 END, 'a': s1.a || 'K'},
+                                 {'c': s3.c + CASE WHEN own = 'u' AND NOT must_go THEN extra ELSE 1000000000 END, 'a': s3.a || 'K'},
+                                 {'c': s0.c + CASE WHEN must_go THEN 1000000000 ELSE extra + 2 END, 'a': s0.a || 'R'},
+                                 {'c': s1.c + CASE WHEN must_go THEN 1000000000 ELSE extra + 2 END, 'a': s1.a || 'R'},
+                                 {'c': s3.c + CASE WHEN must_go THEN 1000000000 ELSE extra + 2 END, 'a': s3.a || 'R'}]) AS s2,
+                       list_min([{'c': s3.c + 3, 'a': s3.a || 'D'},
+                                 {'c': s2.c + CASE WHEN own = 'a' AND NOT must_go THEN extra ELSE 1000000000 END, 'a': s2.a || 'K'},
+                                 {'c': s2.c + CASE WHEN must_go THEN 1000000000 ELSE extra + 2 END, 'a': s2.a || 'R'}]) AS s3
+                FROM search s JOIN stepped r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1))),
+best AS (SELECT conv_id, n, list_min([s0, s3]) AS b FROM search WHERE i = n),
+letters AS (SELECT conv_id, unnest(string_split(b.a, '')) AS edit, unnest(range(1, length(b.a) + 1)) AS nth FROM best),
+numbered AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS row_no, count(*) FILTER (edit <> 'D') OVER w - 1 AS place,
+                    count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd
+             FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING)),
+turned AS (SELECT l.conv_id, l.nth, CASE WHEN edit = 'K' THEN r.role WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END
+                  || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END AS line
+           FROM numbered l LEFT JOIN stepped r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.row_no AND l.edit <> 'I'
+           WHERE edit <> 'D'),
+left_over AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY nth)) AS repaired_sha256 FROM turned GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.b.c, 0)::bigint AS cost,
+       coalesce(b.b.a, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN left_over o ON o.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, sum(coalesce(u.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+                 k.n AS lang_n, l.n AS lang_total, l.v
+          FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN used u USING (lang, source, term)),
+shares AS (SELECT lang, source, term, n, CAST(1 + 1000000000::hugeint * (n + 5) // (total + 5 * v) AS BIGINT) AS p,
+                  CAST(1 + 1000000000::hugeint * (lang_n + 5) // (lang_total + 5 * v) AS BIGINT) AS q FROM dense),
+distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+              FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.follow_up(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_permutation_index, op2_consensus_extraction, op3_chat_windows, op4_redirect_equivalence, op5_personal_data,
     op6_best_fit_packing, op7_minhash_near_dedup, op8_benchmark_decontamination, op9_quality_additive,
-    op10_token_bits)}
+    op10_token_bits, op11_structure_repair, op12_source_divergence, op13_document_fingerprints)}
 ORACLES: dict[str, str] = {"op3_chat_windows": OP3_SQL, "op4_redirect_equivalence": OP4_SQL,
-                           "op7_minhash_near_dedup": OP7_SQL}
+                           "op7_minhash_near_dedup": OP7_SQL,
+                           "op11_structure_repair": OP11_SQL, "op12_source_divergence": OP12_SQL}
