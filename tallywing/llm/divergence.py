@@ -200,9 +200,9 @@ def pair_distances(entries: DataFrame, groups: DataFrame) -> DataFrame:
     ``entries``: lang, term_id, source, share; ``groups``: lang, source, base, n_terms for every source."""
     tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     loads = entries.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    dealing = tiles.join(loads, "lang", "left").select(
-        "lang", "tiles", F.ceil(F.coalesce("n", F.lit(0)) / F.col("tiles") / BLOCK).cast("int").alias("some")) \
-        .select("lang", "tiles", F.greatest("some", F.lit(1)).alias("blocks"))
+    dealing = materialize(tiles.join(loads, "lang", "left").select(
+        "lang", "tiles", F.ceil(F.coalesce("n", F.lit(0)) / F.col("tiles") / BLOCK).cast("int").alias("some"))
+        .select("lang", "tiles", F.greatest("some", F.lit(1)).alias("blocks")), "dealing")
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     pair = F.explode(F.transform(other, lambda j: F.struct(F.least("tile", j).alias("x"), F.greatest("tile", j).alias("y"))))
     tile = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int").alias("tile")
@@ -216,7 +216,9 @@ def pair_distances(entries: DataFrame, groups: DataFrame) -> DataFrame:
         .select("lang", "block", "source", "tile", F.lit(None).cast("long").alias("base"), F.lit(None).cast("long").alias("n_terms"),
                 "term_id", "share", pair.alias("p"))
     rows = listed.unionByName(dealt).select("*", "p.x", "p.y").drop("p")
-    sums = rows.groupBy("lang", "block", "x", "y").applyInPandas(
+    unit = ("lang", "block", "x", "y")
+    # Dealt by unit even where the joins have left a language's rows together.
+    sums = rows.repartition(*unit).groupBy(*unit).applyInPandas(
         _pair_sums, "lang string, a string, b string, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")),
                              F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
