@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallywing.llm.tokens import encode_texts
+from tallywing.llm.tokens import encode_texts, lean
 
 _HEADER = struct.Struct("<4sBxxxIQ")
 _MAGIC = b"TWB1"
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")) \
         .repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInPandas(blocks, _BLOCK_TYPE).write.mode("overwrite").parquet(path)
+    ordered.mapInPandas(lean(blocks), _BLOCK_TYPE).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -147,6 +147,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     # One row per shard, that is per write task.
     sizes = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     starts = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    decoded = stored.select("shard", "ids_before", "data").mapInPandas(documents, kind)
+    decoded = stored.select("shard", "ids_before", "data").mapInPandas(lean(documents), kind)
     return decoded.join(starts, "shard").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tallywing.llm.neardup import _STEP, mix, word_hashes
-from tallywing.llm.tokens import slices
+from tallywing.llm.tokens import lean, slices
 from tallywing.session import materialize
 
 SEED_WORDS = 3
@@ -169,7 +169,7 @@ def _gram_rows(frame: DataFrame, key: str) -> DataFrame:
                 grams = ngrams(words, SEED_WORDS)
                 if len(grams):
                     yield pd.DataFrame({"k": name, "pos": np.arange(len(grams)), "gram": grams.view(np.int64)})
-    return _keyed(frame, key).mapInPandas(rows, "k bigint, pos bigint, gram bigint").withColumnRenamed("k", key)
+    return _keyed(frame, key).mapInPandas(lean(rows), "k bigint, pos bigint, gram bigint").withColumnRenamed("k", key)
 
 
 def _keyed(frame: DataFrame, key: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _by_sending(docs: DataFrame, items: DataFrame, threshold: float) -> DataFram
             if hits:
                 yield _found_in(docs_held, all_words, names, hits, threshold)
 
-    return of_docs.mapInPandas(scan, _FOUND)
+    return of_docs.mapInPandas(lean(scan), _FOUND)
 
 
 def _by_joining(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -239,4 +239,4 @@ def _by_joining(docs: DataFrame, items: DataFrame, threshold: float) -> DataFram
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return hits.join(keyed.withColumnRenamed("text", "item_text"), "item").join(texts, "doc_id") \
-        .select("doc_id", "text", "item_id", "item_text", "at_doc", "at_item").mapInPandas(score, _FOUND)
+        .select("doc_id", "text", "item_id", "item_text", "at_doc", "at_item").mapInPandas(lean(score), _FOUND)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tallywing.llm.components import connected_components
-from tallywing.llm.tokens import slices
+from tallywing.llm.tokens import lean, slices
 from tallywing.session import materialize
 
 BANDS, ROWS = 48, 6
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                                 "digest": pd.Series(digests, dtype=object), "keys": pd.Series(keys, dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        rows, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+        lean(rows), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     texts = materialize(by_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "left_semi"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(rows, "a bigint, b bigint").distinct()
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(lean(rows), "a bigint, b bigint").distinct()
 
 
 def _star_pairs(buckets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +243,7 @@ def _bucket_links(members: DataFrame, least: DataFrame, docs: DataFrame, width:
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = by_ids(texts, members.select(F.col("member").alias("doc_id")), "left_semi") \
-        .mapInPandas(shingled, "member bigint, shingles binary")
+        .mapInPandas(lean(shingled), "member bigint, shingles binary")
     hubs = members.groupBy("key").agg(F.min("member").alias("hub"))
     families = connected_components(members.join(hubs, "key").select("member", "hub").distinct(), "member", "hub") \
         .withColumnsRenamed({"node": "member", "component": "family"})
@@ -262,7 +262,7 @@ def _bucket_links(members: DataFrame, least: DataFrame, docs: DataFrame, width:
         "unit", "is_family", "pair.x", "pair.y", "member", "component", "block", "shingles", "keys")
     group = ("unit", "is_family", "x", "y")
     return full.repartition(*group).sortWithinPartitions(*group, "member") \
-        .mapInPandas(compared, "a bigint, b bigint").distinct()
+        .mapInPandas(lean(compared), "a bigint, b bigint").distinct()
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallywing.llm.tokens import encode_texts
+from tallywing.llm.tokens import encode_texts, lean
 from tallywing.session import materialize
 
 CAPACITY = 4096
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity:
                 out["ids"] = pd.Series(raw, dtype=object)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(pieces, kind)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lean(pieces), kind)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, np.ndarray], int]:
@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch[columns].assign(sequence_id=sequence, offset=offset)
 
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ranked(pieces.filter("length > 0"), salts).mapInPandas(place, kind)
+    return ranked(pieces.filter("length > 0"), salts).mapInPandas(lean(place), kind)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = CAPACITY,

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywing.llm.neardup import word_hashes
-from tallywing.llm.tokens import slices
+from tallywing.llm.tokens import lean, slices
 
 FEATURES = ("log_words", "mean_word", "longest_word", "upper", "digits", "sentence_marks", "noise_marks",
             "exclamations", "bars", "other_marks", "beyond_ascii", "repeated_next", "distinct_words",
@@ -266,4 +266,4 @@ def features_table(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
                                 "features": pd.Series(list(features_of(batch["text"].tolist())), dtype=object)})
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        rows, "doc_id bigint, features array<float>")
+        lean(rows), "doc_id bigint, features array<float>")

@@ -2,18 +2,26 @@
 
 Both public tokenizers split a text into words first and merge inside a word only. A word
 never reaches over the border between a visible character and a following blank or line
-break, so a text may be cut there and its pieces encoded apart. Every distinct piece of a
-batch is encoded once by the tokenizers library, several in one call with a special token
-between them; texts are then put together by numpy gathers. Texts with doubled blanks or
-other white space, and texts that contain a special token's string, are given to the
-library whole.
+break, nor from a letter or digit to a punctuation mark that ends the word, so a text may be
+cut there and its pieces encoded apart. Every distinct piece of a batch is encoded once by
+the tokenizers library, several in one call with a border between them: a sign that is one
+token after a blank, or a special token where a piece has no blank before it. Texts are then
+put together by numpy gathers. Texts with doubled blanks or other white space, and texts that
+contain the border's sign or a special token's string, are given to the library whole.
+
+What a worker remembers is bounded and outlives a task; ``lean`` returns the memory
+that a task's batches have taken.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
+import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +30,12 @@ import pyarrow.compute as pc
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f᠎​-‏⁠﻿]")
 #: Bytes that neither are control characters nor begin the code of other white space.
 _SAFE_BYTES = bytes(b for b in range(256) if b == 10 or (b >= 32 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF)))
-_REMEMBERED = 300_000
+#: Stands before a piece that follows the one before it without a blank; no regular text holds it.
+_GLUE = "\x02"
+#: A mark that ends a word, after a letter or digit that both tokenizers know as such.
+_ENDING = re.compile(r"([.,;:!?)])(?=[ \n])(?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)")
+_SIGNS = "¥£®©×µ"
+_REMEMBERED = 500_000
 _BATCH_CHARS = 3_500_000
 _JOINED = 500
 
@@ -33,14 +46,22 @@ class WordEncoder:
     """A tokenizer file with a bounded memory of the words it has encoded."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        added = json.loads(self._tokenizer.to_str())["added_tokens"]
+        told = json.loads(self._tokenizer.to_str())
+        added = told["added_tokens"]
         self._special = [t["content"] for t in added]
         plain = [t for t in added if t["special"] and not t["normalized"]
                  and not (t["lstrip"] or t["rstrip"] or t["single_word"])]
         self._border = (plain[0]["content"], plain[0]["id"]) if plain else None
+        # Its ids do not depend on the case of A to Z.
+        self._folds = '"Lowercase"' in json.dumps(told["normalizer"])
+        signs = [(f" {c}", ids[0]) for c in _SIGNS if len(ids := self._whole([f" {c}"])[0]) == 1]
+        self._sign = signs[0] if signs else self._border
+        if signs:
+            self._special.append(signs[0][0][1])
         self._forget()
 
     def _forget(self) -> None:
@@ -62,23 +83,28 @@ class WordEncoder:
         self._starts, self._sizes, self._uses = (ends - sizes).astype(np.int32), sizes, self._uses[keep] // 2
 
     def _whole(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+        return [e.ids for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and their number per piece; no piece holds a special token."""
-        if self._border is None:
+    def _apart(self, pieces: list[str], border: tuple[str, int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and their number per piece; no piece holds the border."""
+        if border is None:
             lists = self._whole(pieces)
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             return np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum())), sizes
-        mark, mark_id = self._border
+        mark, mark_id = border
         joined = [mark.join(pieces[k:k + _JOINED]) + mark for k in range(0, len(pieces), _JOINED)]
         flat = np.concatenate([np.asarray(ids, np.uint32) for ids in self._whole(joined)])
         ends = np.flatnonzero(flat == mark_id)
         return flat[flat != mark_id], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, words: list[str]) -> None:
-        """A word that does not begin a line follows a blank in the text."""
-        flat, sizes = self._apart([w if w[0] == "\n" else " " + w for w in words])
+        """A word that neither begins a line nor is glued follows a blank in the text."""
+        words.sort(key=lambda w: w[0] == _GLUE)
+        glued = sum(w[0] == _GLUE for w in words)
+        flat, sizes = self._apart([w if w[0] == "\n" else " " + w for w in words[:len(words) - glued]], self._sign)
+        if glued:
+            more, more_sizes = self._apart([w[1:] for w in words[len(words) - glued:]], self._border)
+            flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
         base = len(self._ids)
         self._known.update(zip(words, range(len(self._sizes), len(self._sizes) + len(words))))
         self._ids = np.concatenate([self._ids, flat])
@@ -100,11 +126,14 @@ class WordEncoder:
             self._thin_out()
         regular = [k for k, t in enumerate(texts) if self._regular(t)]
         other = sorted(set(range(len(texts))) - set(regular))
+        pieces = [_ENDING.sub(rf" {_GLUE}\1", texts[k]).replace("\n", " \n") for k in regular]
+        if self._folds:
+            pieces = [p.encode().lower().decode() for p in pieces]
         # The first word of a text has no blank before it, so it is encoded apart.
-        cut = pc.split_pattern(pa.array([texts[k].replace("\n", " \n") for k in regular], pa.large_string()), " ")
+        cut = pc.split_pattern(pa.array(pieces, pa.large_string()), " ")
         counts = np.diff(cut.offsets.to_numpy())
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self._known
         new = [w for w in words if w not in known]
         if new:
@@ -112,8 +141,8 @@ class WordEncoder:
         at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
         self._uses += np.bincount(at, minlength=len(self._uses))
         heads = np.cumsum(counts) - counts
-        first = [texts[k].replace("\n", " \n").split(" ", 1)[0] for k in regular]
-        first_ids, first_sizes = self._apart(first) if first else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        first = [p.split(" ", 1)[0] for p in pieces]
+        first_ids, first_sizes = self._apart(first, self._border) if first else (np.empty(0, np.uint32), np.empty(0, np.int64))
         sizes, starts = self._sizes[at], self._starts[at]
         sizes[heads] = first_sizes
         starts[heads] = len(self._ids) + np.cumsum(first_sizes) - first_sizes
@@ -141,6 +170,30 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+@cache
+def _c_library() -> ctypes.CDLL | None:
+    try:
+        library = ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+    return library if hasattr(library, "malloc_trim") else None
+
+
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task's batches that, after the last one, returns freed memory to the system.
+
+    Workers live on from stage to stage; what their allocators keep would add up to the next stage's needs."""
+    @wraps(function)
+    def passed_on(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (library := _c_library()) is not None:
+            library.malloc_trim(0)
+
+    return passed_on
+
+
 def slices(texts: Sequence[str | None], chars: int = _BATCH_CHARS) -> Iterator[slice]:
     """Cuts a batch where its texts reach a number of characters, to bound memory."""
     start = held = 0
