@@ -26,6 +26,7 @@ from functools import cache, wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f᠎​-‏⁠﻿]")
 #: Bytes that neither are control characters nor begin the code of other white space.
@@ -194,6 +195,13 @@ def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return passed_on
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on the session sends rows to Python in batches of at most ``size`` bytes, and a row at least.
+
+    Ten thousand rows, Spark's own bound, are many if texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def slices(texts: Sequence[str | None], chars: int = _BATCH_CHARS) -> Iterator[slice]:
     """Cuts a batch where its texts reach a number of characters, to bound memory."""
     start = held = 0
