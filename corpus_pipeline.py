@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywing.llm import decontam, neardup, packing, pii, quality
 from tallywing.llm.queries import WORD_TOKENIZER, table
+from tallywing.llm.tokens import bound_batches
 from tallywing.session import materialize, ship, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model does not reject."""
-    ship(spark)
+    bound_batches(ship(spark))
     features = materialize(quality.features_table(docs), "features")
     model = quality.learn(features, table(spark, sf_dir, "labels"))
     scores = features.select("doc_id", quality.score_column(model, F.col("features")).alias("score"))
@@ -26,12 +27,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of every group whose five-word shingles are linked at 0.8."""
+    bound_batches(spark)
     linked = neardup.link_components(docs, width=5, percent=80)
     return neardup.by_ids(docs, linked.filter("component_id <> doc_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
+    bound_batches(spark)
     return neardup.by_ids(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
@@ -42,6 +45,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids and their place in sequences of 4096."""
+    bound_batches(spark)
     return packing.pack_documents(docs, WORD_TOKENIZER, end_id=1, with_ids=True)
 
 
