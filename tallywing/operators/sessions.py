@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.functions.timeparts import minutes_between
+from tallywing.session import require_utc
 
 
 COUNTERS = ["turns", "calls", "decisions", "cost", "tokens"]
+#: Silence that ends a session where events carry no session id.
+GAP_SECONDS = 1800
 
 
 def session_facts(api_requests: DataFrame, user_prompts: DataFrame,
@@ -73,6 +76,34 @@ def build_sessions(api_requests: DataFrame, user_prompts: DataFrame,
     return fold_sessions(fold_facts(session_facts(api_requests, user_prompts, tool_events)))
 
 
+def gap_session_rows(folded: DataFrame) -> DataFrame:
+    """Columns of a gap session from one row per session with first and last instant."""
+    first, last = (F.col(c).cast("timestamp_ntz") for c in ("first", "last"))
+    return folded.select(
+        "user_email", first.alias("start_time"), last.alias("end_time"),
+        minutes_between(first, last).alias("duration_min"),
+        F.coalesce("turns", F.lit(0)).alias("num_turns"), F.coalesce("calls", F.lit(0)).alias("num_api_calls"),
+        F.coalesce("decisions", F.lit(0)).alias("num_tool_calls"),
+        F.coalesce("cost", F.lit(0)).alias("total_cost_usd"), F.coalesce("tokens", F.lit(0)).alias("total_tokens"))
+
+
+def gap_sessions(facts: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+    """Sessions of ``session_facts`` without session ids: a user's events up to a silence of
+    more than ``gap_seconds``. Facts without an instant belong to none; a null user is a user.
+
+    Events in one slot as long as the gap are always of one session, so a user's events fold
+    per slot before the shuffle; what a session window merges is a row per slot.
+    """
+    require_utc(facts.sparkSession)
+    timed = facts.withColumn("ts", F.col("ts").cast("timestamp"))
+    slots = timed.groupBy("user_email", F.window("ts", f"{gap_seconds} seconds").alias("slot")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), *[F.sum(c).alias(c) for c in COUNTERS])
+    span = ((F.unix_micros("last") - F.unix_micros("first")) / 1_000_000).cast("decimal(18,6)") + gap_seconds
+    return gap_session_rows(slots.groupBy("user_email", F.session_window(
+        F.col("first"), F.make_interval(secs=span)).alias("w")).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in COUNTERS]))
+
+
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: Sequence[str],
                   version: str) -> DataFrame:
     """Rows of both frames, the one with the greatest ``version`` per key.

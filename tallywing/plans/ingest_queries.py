@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywing.functions import coerce
 from tallywing.model import EMPLOYEE_FIELDS, EVENT_KINDS
 from tallywing.operators.common import stack
-from tallywing.operators.sessions import build_sessions, session_facts
+from tallywing.operators.sessions import build_sessions, gap_sessions, session_facts
 from tallywing.plans import fixtures
 from tallywing.plans.registry import Catalogue, Inputs, R, S
 from tallywing.session import work_dir
 from tallywing.sources import directory, envelopes, warehouse
-from tallywing.streaming import ingest, live
+from tallywing.streaming import ingest, late, live
 
 CASES = Catalogue()
 
@@ -251,3 +253,115 @@ def _stream_sessions(i: Inputs) -> DataFrame:
 
 CASES.add("stream_sessions", _stream_sessions,
           "SELECT * REPLACE (CAST(total_cost_usd AS double) AS total_cost_usd) FROM sessions")
+
+
+# --- streams with late rows, in several runs --------------------------------------
+
+#: Requests arrive in four parts of the period; every fortieth comes a part later than it should.
+ARRIVING = """
+    SELECT *, CAST(least(3, floor((dayofyear("timestamp") - 1) / 27)) AS int)
+              + CASE WHEN id % 40 = 7 THEN 1 ELSE 0 END AS step FROM api_requests"""
+_SPLIT = f"""
+    WITH arriving AS ({ARRIVING}),
+    highs AS (SELECT step, max("timestamp") AS high FROM arriving GROUP BY step),
+    marks AS (SELECT a.step, max(b.high) - INTERVAL 1 DAY AS mark
+              FROM highs a LEFT JOIN highs b ON b.step < a.step GROUP BY a.step),
+    split AS (SELECT a.*, coalesce("timestamp" <= mark, false) AS late, max("timestamp") OVER () AS high
+              FROM arriving a JOIN marks USING (step))"""
+_STREAMS = ("requests", "unique", "days", "fragments", "gaps")
+
+
+def _facts_of(requests: DataFrame) -> DataFrame:
+    """Facts of requests alone."""
+    none = requests.where("false").withColumn("event_type", F.lit("decision"))
+    return session_facts(requests, none, none)
+
+
+@cache
+def _arrived(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Stored results of all streams after every part has arrived; each part is a run of each."""
+    i = Inputs(spark, sf_dir)
+    stores, states = ({n: work_dir(spark, f"{kind}-{n}") for n in _STREAMS} for kind in ("late", "state"))
+    incoming = work_dir(spark, "incoming")
+    arriving = i.spark.sql(ARRIVING.replace('"timestamp"', "`timestamp`").replace(
+        "FROM api_requests", "FROM {requests}"), requests=i.wh.api_requests)
+    steps = sorted(r.step for r in arriving.select("step").distinct().collect())
+    schema = i.wh.api_requests.schema
+    for step in steps:
+        arriving.where(F.col("step") == step).drop("step").write.parquet(f"{incoming}/{step}")
+        rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(incoming)
+        late.split_late(rows, "timestamp", "1 day", stores["requests"], states["requests"]).awaitTermination()
+        requests = late.accepted_stream(spark, stores["requests"])
+        runs = [live.store_versions(live.stream_daily_activity(requests), stores["days"], states["days"]),
+                live.store_versions(live.stream_sessions(_facts_of(requests)), stores["fragments"], states["fragments"])]
+        runs += [df.writeStream.format("parquet").option("path", stores[n]).option("checkpointLocation", states[n])
+                 .outputMode("append").trigger(availableNow=True).start()
+                 for n, df in (("unique", live.stream_dedupe(requests, delay="1 day")),
+                               ("gaps", live.stream_gap_sessions(_facts_of(requests))))]
+        for run in runs:
+            run.awaitTermination()
+            if dropped := late.dropped_by_watermark(run):
+                raise RuntimeError(f"{dropped} accepted rows were dropped by a stream")
+    return stores
+
+
+def _stores(i: Inputs) -> dict[str, str]:
+    return _arrived(i.spark, i.sf_dir)
+
+
+def _late(i: Inputs) -> DataFrame:
+    return late.late_rows(i.spark, _stores(i)["requests"])
+
+
+CASES.add("stream_late_rows", lambda i: i.spark.read.parquet(_stores(i)["requests"]).groupBy(
+    F.col(late.DAY).alias("date")).agg(F.count_if(F.col(late.LATE) == 0).alias("accepted"),
+                                       F.count_if(F.col(late.LATE) == 1).alias("late")),
+    _SPLIT + """
+    SELECT CAST("timestamp" AS date) AS date, count(*) FILTER (NOT late) AS accepted,
+           count(*) FILTER (late) AS late FROM split GROUP BY 1""")
+
+CASES.add("stream_daily_activity_late", lambda i: late.amended_days(
+    live.latest_versions(i.spark.read.parquet(_stores(i)["days"]), ["date"]), _late(i)).select(
+        "date", "api_calls", F.col("cost_usd").cast("double").alias("cost_usd"), "tokens"), f"""
+    SELECT CAST("timestamp" AS date) AS date, count(*) AS api_calls,
+           {R("sum(cost_usd)", 6)} AS cost_usd, {S("total_tokens")} AS tokens
+    FROM api_requests GROUP BY 1""")
+
+CASES.add("stream_daily_users_late", lambda i: late.amended_days(
+    live.latest_versions(i.spark.read.parquet(_stores(i)["days"]), ["date"]), _late(i)).join(
+        i.wh.api_requests.groupBy(F.to_date("timestamp").alias("date")).agg(
+            F.countDistinct("user_email").alias("active_users")), "date").select(
+        "date", "active_users", (F.abs(F.col("active_users_approx") - F.col("active_users"))
+                                 <= F.greatest(F.lit(1), 0.05 * F.col("active_users"))).alias("within_bound")), """
+    SELECT CAST("timestamp" AS date) AS date, count(DISTINCT user_email) AS active_users, true AS within_bound
+    FROM api_requests GROUP BY 1""")
+
+_UNIQUE = ["user_email", "timestamp", "model"]
+CASES.add("stream_dedupe_late", lambda i: late.amended_unique(
+    i.spark.read.parquet(_stores(i)["unique"]).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")),
+    _late(i), _UNIQUE).select(_UNIQUE), 'SELECT DISTINCT user_email, "timestamp", model FROM api_requests')
+
+CASES.add("stream_sessions_late", lambda i: live.sessions_from_fragments(
+    i.spark.read.parquet(_stores(i)["fragments"]), late.late_fragments(_facts_of(_late(i)))).select(
+        "session_id", "user_email", "start_time", "end_time", "num_api_calls", "total_tokens"), f"""
+    SELECT session_id, max(user_email) AS user_email, min("timestamp") AS start_time, max("timestamp") AS end_time,
+           count(*) AS num_api_calls, {S("total_tokens")} AS total_tokens FROM api_requests GROUP BY session_id""")
+
+#: Gaps and islands: a row more than half an hour after the user's last one begins a session.
+_ISLANDS = """
+    begun AS (SELECT *, CASE WHEN "timestamp" - lag("timestamp") OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
+              FROM {rows} WINDOW w AS (PARTITION BY user_email ORDER BY "timestamp")),
+    placed AS (SELECT *, sum(new) OVER (PARTITION BY user_email ORDER BY "timestamp"
+                                        RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM begun),
+    islands AS (SELECT user_email, min("timestamp") AS start_time, max("timestamp") AS end_time,
+                       count(*) AS num_api_calls, CAST(sum(total_tokens) AS bigint) AS total_tokens
+                FROM placed GROUP BY user_email, island)"""
+_GAP_COLUMNS = ["user_email", "start_time", "end_time", "num_api_calls", "total_tokens"]
+
+CASES.add("gap_sessions", lambda i: gap_sessions(_facts_of(i.wh.api_requests)).select(_GAP_COLUMNS),
+          "WITH " + _ISLANDS.format(rows="api_requests") + " SELECT * FROM islands")
+
+CASES.add("stream_gap_sessions", lambda i: i.spark.read.parquet(_stores(i)["gaps"]).select(_GAP_COLUMNS),
+          _SPLIT + ", accepted AS (SELECT * FROM split WHERE NOT late)," + _ISLANDS.format(rows="accepted") + """
+    SELECT * FROM islands
+    WHERE end_time + INTERVAL 30 MINUTE <= (SELECT max(high) FROM split) - INTERVAL 1 DAY""")
