@@ -14,7 +14,7 @@ from tallywing.operators.sessions import build_sessions, gap_sessions, session_f
 from tallywing.plans import fixtures
 from tallywing.plans.registry import Catalogue, Inputs, R, S
 from tallywing.session import work_dir
-from tallywing.sources import directory, envelopes, warehouse
+from tallywing.sources import directory, envelopes, increments, warehouse
 from tallywing.streaming import ingest, late, live
 
 CASES = Catalogue()
@@ -174,6 +174,42 @@ CASES.add("scan_table", lambda i: warehouse.scan_table(i.wh, """
     SELECT model, count(*) AS calls FROM api_requests WHERE duration_ms >= 5000 GROUP BY model""")
 
 
+@cache
+def _grown(spark: SparkSession, sf_dir: str) -> tuple[str, tuple[increments.Increment, ...]]:
+    """A warehouse that grew by three loads; the fourth found nothing new."""
+    i = Inputs(spark, sf_dir)
+    root, logs, staff = work_dir(spark, "grown"), work_dir(spark, "arriving"), _employee_csv(i)
+    lines = _packed(i)
+    done = []
+    for third in (0, 1, 2, None):
+        if third is not None:
+            lines.where(F.col("day") % 3 == third).select("value").write.text(f"{logs}/{third}")
+        done.append(increments.load_increment(spark, logs, staff, root))
+    return root, tuple(done)
+
+
+def _increment_counts(i: Inputs) -> DataFrame:
+    done = _grown(i.spark, i.sf_dir)[1]
+    return i.spark.createDataFrame([(n, d.events, d.files > 0) for n, d in enumerate(done)],
+                                   "load int, events bigint, read_files boolean")
+
+
+CASES.add("load_increment", _increment_counts, f"""
+    SELECT CAST(extract(day FROM "timestamp") % 3 AS int) AS load, count(*) AS events, true AS read_files
+    FROM ({ALL_EVENTS}) GROUP BY 1 UNION ALL SELECT 3, 0, false""")
+
+
+def _increment_tables(i: Inputs) -> DataFrame:
+    wh = increments.open_increments(i.spark, _grown(i.spark, i.sf_dir)[0])
+    return stack(df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows")) for name, df in wh.items())
+
+
+CASES.add("increment_tables", _increment_tables, _TABLE_COUNTS)
+CASES.add("increment_sessions", lambda i: increments.open_increments(
+    i.spark, _grown(i.spark, i.sf_dir)[0]).sessions.withColumn("total_cost_usd", F.round("total_cost_usd", 6)),
+    "SELECT * REPLACE (round(CAST(total_cost_usd AS double), 6) AS total_cost_usd) FROM sessions")
+
+
 # --- streams ----------------------------------------------------------------------
 
 

@@ -18,11 +18,14 @@ from tallywing.sources.envelopes import (
     TABLE_KINDS, parse_events, read_lines, table_columns, typed_events)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored frame, or none where nothing has been written yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as problem:
+        if (problem.getCondition() or "") in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def event_tables(stored: DataFrame) -> dict[str, DataFrame]:
@@ -35,7 +38,7 @@ def event_tables(stored: DataFrame) -> dict[str, DataFrame]:
 
 def _current(spark: SparkSession, root: str) -> str | None:
     """Folder of the newest finished load."""
-    loads = _existing(spark, f"{root}/loads")
+    loads = existing(spark, f"{root}/loads")
     newest = loads.orderBy(F.desc("finished"), "folder").first() if loads is not None else None
     return f"{root}/{newest['folder']}" if newest else None
 

@@ -16,31 +16,22 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallywing.operators.sessions import fold_facts
 from tallywing.session import require_utc
+from tallywing.sources.warehouse import existing
 
 LATE, DAY = "arrived_late", "arrival_day"
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as problem:
-        if (problem.getCondition() or "") in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def watermark(spark: SparkSession, path: str, column: str, delay: str) -> datetime | None:
     """The time a row has to lie after now, as Spark counts it; null as long as nothing is stored.
 
     Only the newest day's files are read for it."""
-    stored = _stored(spark, path)
+    stored = existing(spark, path)
     if stored is None:
         return None
     accepted = stored.where(F.col(LATE) == 0)
