@@ -36,8 +36,8 @@ _GLUE = "\x02"
 #: A mark that ends a word, after a letter or digit that both tokenizers know as such.
 _ENDING = re.compile(r"([.,;:!?)])(?=[ \n])(?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)")
 _SIGNS = "¥£®©×µ"
-_REMEMBERED = 500_000
-_BATCH_CHARS = 3_500_000
+_REMEMBERED = 300_000
+_BATCH_CHARS = 1_000_000
 _JOINED = 500
 
 _encoders: dict[str, WordEncoder] = {}
