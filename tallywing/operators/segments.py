@@ -2,68 +2,50 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.functions.numeric import rounded
 from tallywing.model import SEGMENT_LABELS, Warehouse
+from tallywing.operators.kmeans import fit_kmeans
 from tallywing.operators.people import user_engagement_scores
+from tallywing.operators.stats import standardize
 from tallywing.session import materialize
 
 FEATURES = ["sessions", "avg_turns", "total_cost", "distinct_tools"]
 
 
-def best_kmeans(features: DataFrame, k: int, restarts: int, seed: int,
-                parallelism: int = 8) -> KMeansModel:
-    """The fit of lowest cost out of ``restarts``; several fits share the cluster."""
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster",
-                      maxIter=300, tol=1e-4).fit(features)
-
-    with ThreadPool(min(parallelism, restarts)) as pool:
-        models = pool.map(fit, range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _squared(columns: list[str], point: list[float]) -> Column:
+    return sum(((F.col(c).cast("double") - F.lit(float(v))) * (F.col(c).cast("double") - F.lit(float(v)))
+                for c, v in zip(columns, point)), F.lit(0.0))
 
 
 def cluster_users(wh: Warehouse, k: int = 4, restarts: int = 20, seed: int = 42,
                   fanout: bool = False) -> DataFrame:
     """Engagement rows with cluster number, label and distance to the centroid.
 
-    Labels follow descending mean cost. The distance is in the units of the features.
-    The rows are stored in order before the fit, so a seed gives the same segments on any
-    layout of the input. Only k centroids reach the driver.
+    Clusters are numbered and labelled by descending mean cost; one without users gets no
+    number. The distance is in the units of the features. Seeds are drawn by user, so a
+    seed gives the same segments on any layout of the input. Users are stored before the
+    fit; only the centres of all restarts and the means of k clusters reach the driver.
     """
-    users = materialize(user_engagement_scores(wh, fanout=fanout), "engagement")
-    points = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(
-        users.na.fill(0, FEATURES))
-    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True,
-                            withStd=True).fit(points)
-    scaled = scaler.transform(points).persist()
-    try:
-        model = best_kmeans(scaled, k, restarts, seed)
-        placed = model.transform(scaler.transform(points))
-        costs = {row["cluster"]: row["cost"] for row in placed.groupBy("cluster").agg(
-            F.avg("total_cost").alias("cost")).collect()}
-    finally:
-        scaled.unpersist()
-    centres = [[z * s + m for z, s, m in zip(c, scaler.std, scaler.mean)]
-               for c in model.clusterCenters()]
-    ranked = sorted(costs, key=lambda c: (-costs[c], c))
-    labels = F.create_map(*[F.lit(x) for c, label in zip(ranked, SEGMENT_LABELS)
-                            for x in (c, label)])
-    centre = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]),
-                          F.col("cluster") + 1)
-    squares = F.zip_with(vector_to_array("raw"), centre, lambda a, b: (a - b) * (a - b))
-    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-    return placed.withColumns({
-        "cluster_label": F.try_element_at(labels, F.col("cluster")),
-        "dist_to_centroid": rounded(distance, 3),
-    }).drop("raw", "scaled")
+    users = user_engagement_scores(wh, fanout=fanout)
+    scaled = [f"{c}_z" for c in FEATURES]
+    stored = materialize(standardize(users.na.fill(0, FEATURES), FEATURES), "engagement")
+    points = stored.select(F.xxhash64("user_email", F.lit(seed)).alias("id"), *scaled)
+    centres = fit_kmeans(points, scaled, k, restarts).centres
+    away = F.array(*[_squared(scaled, list(c)) for c in centres])
+    placed = stored.withColumn("_away", away).withColumn(
+        "_found", (F.array_position("_away", F.array_min("_away")) - 1).cast("int")).drop("_away", *scaled)
+    means = placed.groupBy("_found").agg(*[F.avg(c).cast("double").alias(c) for c in FEATURES]).collect()
+    ranked = sorted(means, key=lambda m: (-m["total_cost"], m["_found"]))
+    number = F.element_at(F.create_map(*[F.lit(x) for no, m in enumerate(ranked)
+                                         for x in (m["_found"], no)]), F.col("_found"))
+    label = F.get(F.array(*[F.lit(x) for x in SEGMENT_LABELS]), F.col("cluster"))
+    distance = F.get(F.array(*[F.sqrt(_squared(FEATURES, [m[c] for c in FEATURES])) for m in ranked]),
+                     F.col("cluster"))
+    return placed.withColumn("cluster", number.cast("int")).withColumns({
+        "cluster_label": label, "dist_to_centroid": rounded(distance, 3)}).drop("_found")
 
 
 def cluster_profile(clusters: DataFrame) -> DataFrame:

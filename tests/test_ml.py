@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from builders import at, make, rows, sessions
 
-from tallywing.operators import behavior, isolation, segments
+from tallywing.operators import behavior, isolation, kmeans, segments
 from tallywing.operators.stats import standardize
 
 
@@ -92,3 +92,46 @@ def test_segments(spark, crowd):
     assert sum(r["engineers"] for r in profile) == 61
     rolled = rows(behavior.rolling_sessions_by_cluster(crowd, clusters))
     assert sum(r["sessions"] for r in rolled) == crowd.sessions.count()
+
+
+def _blobs(spark, groups=4, size=150, spread=0.6):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4, (groups, 3))
+    points = np.concatenate([rng.normal(c, spread, (size, 3)) for c in centres])
+    return points, spark.createDataFrame(
+        [(n, *map(float, p)) for n, p in enumerate(points)], "id bigint, a double, b double, c double")
+
+
+def test_kmeans_reaches_the_least_cost_of_separate_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    points, df = _blobs(spark, groups=7, spread=1.5)
+    fit = kmeans.fit_kmeans(df, ["a", "b", "c"], k=5, restarts=20)
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="v").transform(df).cache()
+    apart = min(KMeans(k=5, seed=s, featuresCol="v", maxIter=300, tol=1e-4).fit(vectors)
+                .summary.trainingCost for s in range(20))
+    assert fit.cost <= apart * (1 + 1e-4)  # both are local searches from random seeds
+    squares = ((points[:, None, :] - fit.centres[None]) ** 2).sum(axis=2)
+    assert fit.cost == pytest.approx(squares.min(axis=1).sum())
+    for c in range(5):  # a fixed point: every centre is the mean of the points nearest to it
+        assert points[squares.argmin(axis=1) == c].mean(axis=0) == pytest.approx(fit.centres[c], abs=1e-3)
+
+
+def test_kmeans_passes_do_not_grow_with_restarts(spark):
+    _, df = _blobs(spark)
+    rounds = []
+    many = kmeans.fit_kmeans(df, ["a", "b", "c"], k=4, restarts=30,
+                             watch=lambda number, moving: rounds.append(moving))
+    assert many.passes == 4 + len(rounds) + 1
+    assert rounds[-1] == 0 and rounds == sorted(rounds, reverse=True)
+    layouts = [kmeans.fit_kmeans(df.repartition(n), ["a", "b", "c"], k=4, restarts=3).centres for n in (1, 9)]
+    assert layouts[0] == pytest.approx(layouts[1])
+
+
+def test_kmeans_with_few_or_no_points(spark):
+    df = spark.createDataFrame([(n, float(n % 2)) for n in range(6)], "id bigint, a double")
+    fit = kmeans.fit_kmeans(df, ["a"], k=3, restarts=2)
+    assert fit.cost == 0 and sorted(set(fit.centres[:, 0])) == [0.0, 1.0]
+    with pytest.raises(ValueError):
+        kmeans.fit_kmeans(df.limit(0), ["a"], k=2)
