@@ -15,8 +15,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywing.session import materialize
-
 BUCKETS = 128
 
 
@@ -26,16 +24,18 @@ def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (),
     """Per (keys, distinct value): ``n`` rows, ``below`` smaller ones, ``total`` of the group.
 
     Any number of ``buckets`` gives the same answer; a task holds about one part in
-    ``buckets`` of the values. ``weight`` names a column of row multiplicities.
+    ``buckets`` of the values. ``weight`` names a column of row multiplicities; values whose
+    multiplicities sum to zero or less are left out.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull()).select(*keys, v.alias("value"), *([weight] if weight else []))
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    # Stored, since three steps read it: ``df`` is run once.
-    folded = materialize(rows.groupBy(*keys, "value").agg(n.alias("n")), "values")
+    # Three steps read this. The condition makes all of them ask for the same columns, so
+    # that Spark runs ``df`` and its shuffle once and reuses the exchange.
+    folded = rows.groupBy(*keys, "value").agg(n.alias("n")).where("n > 0")
     shares = [k / buckets for k in range(1, buckets)] or [0.5]
-    cuts = folded.agg(F.percentile_approx("value", shares, 10 * buckets)).scalar()
-    counts = folded.withColumn("_cuts", F.array_distinct(cuts)).select(
+    cuts = folded.agg(F.array_distinct(F.percentile_approx("value", shares, 10 * buckets))).scalar()
+    counts = folded.withColumn("_cuts", cuts).select(
         *keys, "value", "n",
         F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("_bucket"))
 

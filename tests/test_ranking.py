@@ -72,3 +72,14 @@ def test_an_extreme_value_does_not_gather_the_others(spark):
     df = spark.range(20_000).select((F.col("id") / 1000).alias("v")).union(spark.createDataFrame([(1e15,)], "v double"))
     counted = cumulative_counts(df, "v", keep_bucket=True)
     assert counted.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 20_000 / 128 * 2
+
+
+def test_the_input_is_shuffled_once_and_nothing_is_stored(spark, tmp_path):
+    """All three readers of the folded values reuse one exchange."""
+    df = spark.range(5000).select((F.col("id") % 7).alias("g"), (F.col("id") % 911).cast("double").alias("v"))
+    result = quantiles(df, "v", PROBS, ["g"])
+    assert not result.inputFiles()
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Range (0, 5000") + final.count("Scan ExistingRDD") <= 1, final
