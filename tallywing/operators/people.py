@@ -231,3 +231,14 @@ def user_drilldown(wh: Warehouse, email: str) -> dict[str, DataFrame]:
         "daily": drilldown_daily(wh, email),
         "errors": drilldown_errors(wh, email),
     }
+
+
+def drilldown_rows(wh: Warehouse, email: str) -> DataFrame:
+    """All frames of the drill-down as rows of one, named by ``frame``; other columns are null."""
+    frames = [df.withColumn("frame", F.lit(name)) for name, df in user_drilldown(wh, email).items()]
+    if not frames:
+        raise KeyError(f"no {email} in the directory")
+    rows = frames[0]
+    for df in frames[1:]:
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    return rows.select("frame", *[c for c in rows.columns if c != "frame"])

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tallywing.functions import coerce
 from tallywing.model import EMPLOYEE_FIELDS, EVENT_KINDS
+from tallywing.operators import quality
 from tallywing.operators.common import stack
 from tallywing.operators.sessions import build_sessions, gap_sessions, session_facts
 from tallywing.plans import fixtures
+from tallywing.plans.quality_queries import REPORT
 from tallywing.plans.registry import Catalogue, Inputs, R, S
 from tallywing.session import work_dir
 from tallywing.sources import directory, envelopes, increments, warehouse
@@ -32,6 +34,16 @@ def _events(i: Inputs) -> DataFrame:
     return envelopes.parse_events(_lines(i))
 
 
+CASES.add("write_busy_slots", lambda i: envelopes.typed_events(envelopes.parse_events(envelopes.pack_envelopes(
+    envelopes.event_messages(i.wh), slot_seconds=86400, per_task=500).select("value"))).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("session_id").alias("sessions")),
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, count(*) AS events, count(DISTINCT session_id) AS sessions FROM {rows}"
+        for kind, rows in (("api_request", "api_requests"), ("tool_decision", "tool_events WHERE event_type = 'decision'"),
+                           ("tool_result", "tool_events WHERE event_type = 'result'"),
+                           ("user_prompt", "user_prompts"), ("api_error", "api_errors"))))
+
+
 # --- parsing ----------------------------------------------------------------------
 
 _KIND_ROWS = {
@@ -165,9 +177,17 @@ def _load(i: Inputs):
     return warehouse.load_warehouse(i.spark, logs, _employee_csv(i), root)[0]
 
 
+def _report_after_load(i: Inputs) -> DataFrame:
+    root, logs = work_dir(i.spark, "warehouse"), work_dir(i.spark, "logs")
+    _lines(i).write.text(logs)
+    wh, _ = warehouse.load_warehouse(i.spark, logs, _employee_csv(i), root)
+    return quality.quality_report(wh, counters=warehouse.load_counters(i.spark, root))
+
+
 CASES.add("load_warehouse", lambda i: stack(
     df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
     for name, df in _load(i).items()), _TABLE_COUNTS)
+CASES.add("quality_report_loaded", _report_after_load, REPORT)
 CASES.add("scan_table", lambda i: warehouse.scan_table(i.wh, """
     SELECT model, count(*) AS calls FROM {api_requests}
     WHERE duration_ms >= :slow GROUP BY model""", {"slow": 5000}), """

@@ -12,6 +12,7 @@ from tallywing.functions.coerce import as_flag, as_float, as_whole
 from tallywing.functions.timeparts import utc_timestamp
 from tallywing.model import CORRUPT, ENVELOPE, EVENT_KINDS, MESSAGE, UNKNOWN_KIND, Warehouse
 from tallywing.operators.common import stack
+from tallywing.session import materialize
 
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -245,18 +246,29 @@ def event_messages(wh: Warehouse) -> DataFrame:
 
 
 def pack_envelopes(messages: DataFrame, size: int = 10, slot_seconds: int = 60,
-                   salts: int = 1) -> DataFrame:
+                   salts: int = 1, per_task: int | None = None) -> DataFrame:
     """Envelope lines ``(value, year, month, day)`` of up to ``size`` messages in time order.
 
     Messages are numbered inside a slot of ``slot_seconds``, so no task sorts a whole
-    day; ``salts`` splits busy slots further. Year, month and day are those of the first
+    day. ``salts`` splits every slot further; ``per_task`` instead counts the messages per
+    slot and gives each slot as many salts as it takes to hold about so many in one. The
+    counts, one row a slot, are stored first (a job runs when this is called), so that
+    their size decides how they reach the messages. Year, month and day are those of the first
     message, and a slot never spans two days.
     """
+    if per_task is not None and (per_task < 1 or salts != 1):
+        raise ValueError("per_task has to be positive and takes the place of salts")
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
-    placed = messages.select(
-        "id", millis.alias("millis"), "message",
-        F.floor(millis / (slot_seconds * 1000)).alias("slot"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    slotted = messages.select("id", millis.alias("millis"), "message",
+                              F.floor(millis / (slot_seconds * 1000)).alias("slot"))
+    shares = F.lit(salts).cast("bigint")
+    if per_task is not None:
+        counts = materialize(slotted.groupBy("slot").agg(F.count(F.lit(1)).alias("held")), "slots")
+        counts = counts.withColumnRenamed("slot", "_slot")
+        slotted = slotted.join(counts, F.col("slot").eqNullSafe(F.col("_slot")))  # messages without a time too
+        shares = F.ceil(F.col("held") / per_task)
+    placed = slotted.select("id", "millis", "message", "slot",
+                            F.pmod(F.xxhash64("id"), shares).alias("salt"))
     order = Window.partitionBy("slot", "salt").orderBy("millis", "id")
     packs = placed.withColumn("pack", F.floor((F.row_number().over(order) - 1) / size))
     entry = F.struct("millis", "id", "message")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallywing.model import EVENT_KINDS, UNKNOWN_KIND, Warehouse
+from tallywing.operators.quality import request_aggregates
 from tallywing.operators.sessions import build_sessions
 from tallywing.session import require_utc
 from tallywing.sources.directory import read_employees
@@ -64,6 +65,17 @@ def open_warehouse(spark: SparkSession, root: str, first_day: str | None = None,
                      **event_tables(events))
 
 
+def load_counters(spark: SparkSession, root: str) -> DataFrame | None:
+    """What the newest finished load counted in request rows on the way, for ``quality_report``.
+
+    One row with the columns of ``request_counters``; none for loads made before loads counted.
+    """
+    folder = _current(spark, root)
+    if folder is None:
+        raise FileNotFoundError(f"no finished load under {root}")
+    return existing(spark, f"{folder}/counters")
+
+
 def _is_loaded(spark: SparkSession, root: str) -> bool:
     folder = _current(spark, root)
     if folder is None:
@@ -79,7 +91,8 @@ def load_warehouse(spark: SparkSession, events_path: str, employees_path: str, r
     Skipped where request rows are already stored, unless ``force``. A load writes a folder
     of its own and is entered in ``loads`` when all tables are complete; until then readers
     see the load before it. Events are stored once, partitioned by kind and date.
-    Counters are observed on the write itself; a skipped load has none.
+    Counters are observed on the write itself; a skipped load has none. Those of the quality
+    checks are stored with the load (:func:`load_counters`).
     """
     require_utc(spark)
     if not force and _is_loaded(spark, root):
@@ -98,9 +111,16 @@ def load_warehouse(spark: SparkSession, events_path: str, employees_path: str, r
         loaded, *[F.count_if(F.col("kind") == k).alias(k) for k in kinds],
         F.count(F.lit(1)).alias("total"))
     # Rebalancing gives each folder few files of even size and splits a day that is much
-    # larger than the others.
-    typed_events(events).hint("rebalance", "kind", "date").write.partitionBy(
+    # larger than the others. Counters for the quality checks are observed behind it: a
+    # writing task counts once, while tasks before a shuffle may be run again.
+    typed = typed_events(events).hint("rebalance", "kind", "date")
+    counted = Observation("requests")
+    typed.observe(counted, *request_aggregates(dict(typed.dtypes), F.col("kind") == "api_request")).write.partitionBy(
         "kind", "date").parquet(f"{folder}/events")
+    counters = counted.get
+    spark.createDataFrame([tuple(counters.values())], ", ".join(
+        f"{n} {'double' if n.startswith(('mean_', 'dev_')) else 'bigint'}" for n in counters)
+    ).write.parquet(f"{folder}/counters")
     employees.write.parquet(f"{folder}/employees")
     tables = event_tables(spark.read.parquet(f"{folder}/events"))
     build_sessions(tables["api_requests"], tables["user_prompts"], tables["tool_events"]

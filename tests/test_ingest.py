@@ -1,4 +1,5 @@
 import json
+import re
 import math
 
 import pytest
@@ -163,6 +164,22 @@ def test_packing_limits_size_and_keeps_all(spark, derived):
     assert stamps == sorted(stamps)
 
 
+def test_busy_slots_get_more_salts(spark):
+    """A hot second, a quiet one and messages without a time: all kept, none in one task."""
+    times = ["2024-01-01T10:00:00"] * 900 + ["2024-01-01T10:00:05"] * 7 + [None] * 300
+    df = spark.createDataFrame([(f"m{n}", t, "{}") for n, t in enumerate(times)], "id string, t string, message string"
+                               ).select("id", F.to_timestamp_ntz("t").alias("ts"), "message")
+    packed = envelopes.pack_envelopes(df, size=10, slot_seconds=1, per_task=100)
+    lines = [json.loads(r["value"])["logEvents"] for r in packed.collect()]
+    assert sorted(e["id"] for line in lines for e in line) == sorted(f"m{n}" for n in range(len(times)))
+    assert max(map(len, lines)) == 10
+    # Each salt has at most one line that is not full: 9 of the hot second, 1, and 3.
+    assert 2 < sum(len(line) < 10 for line in lines) <= 13
+    for wrong in ({"per_task": 0}, {"per_task": 5, "salts": 2}):
+        with pytest.raises(ValueError):
+            envelopes.pack_envelopes(df, **wrong)
+
+
 def test_load_open_skip_and_force(spark, derived, tmp_path):
     logs, staff, root = (str(tmp_path / n) for n in ("logs", "staff", "root"))
     packed = envelopes.pack_envelopes(envelopes.event_messages(derived), slot_seconds=86400)
@@ -172,6 +189,14 @@ def test_load_open_skip_and_force(spark, derived, tmp_path):
     assert counts["api_request"] == derived.api_requests.count() == wh.api_requests.count()
     assert counts["total"] == sum(v for k, v in counts.items() if k != "total")
     assert wh.sessions.count() == derived.sessions.count()
+    stored = warehouse.load_counters(spark, root)
+    (seen,), (counted,) = rows(stored), rows(quality.request_counters(wh))
+    assert seen == pytest.approx(counted, rel=1e-9) and stored.columns == list(counted)
+    for check in (quality.check_null_rates, quality.check_value_ranges, quality.check_business_rules):
+        scans = [re.findall(r"kind#\d+ = api_request\b", check(wh, c)._jdf.queryExecution().executedPlan().toString())
+                 for c in (None, stored)]
+        assert scans[0] and not scans[1]
+        assert rows(check(wh, stored)) == rows(check(wh))
     again, skipped = warehouse.load_warehouse(spark, logs, staff, root)
     assert skipped == {} and again.employees.count() == derived.employees.count()
     wh, forced = warehouse.load_warehouse(spark, logs, staff, root, force=True)
