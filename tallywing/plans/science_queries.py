@@ -346,3 +346,75 @@ CASES.add("box_segments", lambda i: stats.box_stats(
     segments.cluster_users(i.wh), "total_cost", ["cluster_label"]))
 CASES.add("rolling_sessions_by_cluster",
           lambda i: behavior.rolling_sessions_by_cluster(i.wh, segments.cluster_users(i.wh)))
+
+
+# --- what has to hold for segments and outliers, whatever the random draws ----------
+
+
+def segment_violations(clusters: DataFrame) -> DataFrame:
+    """One row: sizes, and counts of what must not occur in the result of ``cluster_users``.
+
+    Users nearer to the mean of another segment (in units of the spread, beyond the tolerance
+    of the fit), distances that are not those to the own mean, labels against the
+    order of mean cost. Means are one row a segment.
+    """
+    features = segments.FEATURES
+    spread = clusters.agg(F.struct(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in features])).scalar()
+    means = clusters.groupBy("cluster", "cluster_label").agg(*[F.avg(c).cast("double").alias(c) for c in features])
+    listed = means.agg(F.sort_array(F.collect_list(F.struct("cluster", "cluster_label", *features)))).scalar()
+    users = clusters.withColumns({"_means": listed, "_spread": spread})
+
+    def away(mean, scaled: bool):
+        def part(c):
+            size = F.when(F.col("_spread")[c] > 0, F.col("_spread")[c]).otherwise(1.0) if scaled else F.lit(1.0)
+            return F.pow((F.col(c).cast("double") - mean[c]) / size, F.lit(2.0))
+        return F.sqrt(sum((part(c) for c in features[1:]), part(features[0])))
+
+    own = F.get(F.filter("_means", lambda m: m["cluster"] == F.col("cluster")), F.lit(0))
+    nearest = F.array_min(F.transform("_means", lambda m: away(m, True)))
+    ordered = F.forall(F.sequence(F.lit(0), F.size("_means") - 2), lambda n: F.get("_means", n)["total_cost"]
+                       >= F.get("_means", n + 1)["total_cost"])
+    return users.agg(
+        F.count(F.lit(1)).alias("users"), F.countDistinct("cluster_label").alias("labels"),
+        F.sum("sessions").cast("bigint").alias("held_sessions"),
+        F.count_if(away(own, True) > nearest + 1e-3).alias("nearer_elsewhere"),
+        F.count_if(F.abs(away(own, False) - F.col("dist_to_centroid")) > 2e-3).alias("wrong_distance"),
+        F.count_if(~ordered).alias("out_of_order"))
+
+
+def anomaly_violations(anomalies: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """One row: users, and counts of what must not occur in the result of ``detect_user_anomalies``.
+
+    With n users the linear quantile lies at place p = contamination * (n - 1). So at most
+    ceil(p) are flagged, and with the users that tie at the least unflagged score at least so many.
+    """
+    score, flagged = F.col("anomaly_score"), F.col("is_anomaly")
+    ends = anomalies.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high"),
+                                  F.min(F.when(~flagged, score)).alias("first_kept"))).scalar()
+    third = (F.col("_ends.high") - F.col("_ends.low")) / 3
+    grade = (F.when(score < F.col("_ends.low") + third, "High")
+             .when(score < F.col("_ends.low") + 2 * third, "Medium").otherwise("Low"))
+    row = anomalies.withColumn("_ends", ends).agg(
+        F.count(F.lit(1)).alias("users"), F.count_if(flagged).alias("_flagged"),
+        F.count_if(score == F.col("_ends.first_kept")).alias("_tied"),
+        F.count_if(flagged & (score >= F.col("_ends.first_kept"))).alias("flagged_above_kept"),
+        F.count_if(F.col("anomaly_severity") != grade).alias("wrong_severity"),
+        F.count_if((F.col("anomaly_label") == -1) != flagged).alias("wrong_label"))
+    most = F.ceil(F.lit(contamination) * (F.col("users") - 1))
+    wrong = (F.col("_flagged") > most) | (F.col("_flagged") + F.col("_tied") < most)
+    return row.withColumn("wrong_number", wrong.cast("bigint")).drop("_flagged", "_tied")
+
+
+CASES.add("cluster_users_holds", lambda i: segment_violations(segments.cluster_users(i.wh)), f"""
+    SELECT count(*) AS users, 4::bigint AS labels, CAST(sum(sessions) AS bigint) AS held_sessions,
+           0::bigint AS nearer_elsewhere, 0::bigint AS wrong_distance, 0::bigint AS out_of_order
+    FROM ({ENGAGEMENT})""")
+CASES.add("user_anomalies_hold", lambda i: anomaly_violations(isolation.detect_user_anomalies(i.wh)), """
+    SELECT count(DISTINCT user_email) AS users, 0::bigint AS flagged_above_kept, 0::bigint AS wrong_severity,
+           0::bigint AS wrong_label, 0::bigint AS wrong_number FROM sessions""")
+CASES.add("rolling_segments_total", lambda i: behavior.rolling_sessions_by_cluster(
+    i.wh, segments.cluster_users(i.wh)).groupBy(
+        "date", (F.col("cluster_label") != behavior.UNKNOWN_SEGMENT).alias("placed")).agg(
+        F.sum("sessions").cast("bigint").alias("sessions")), f"""
+    SELECT CAST(start_time AS date) AS date, user_email IN (SELECT user_email FROM ({ENGAGEMENT})) AS placed,
+           count(*) AS sessions FROM sessions GROUP BY 1, 2""")

@@ -3,9 +3,12 @@ import random
 import numpy as np
 import pytest
 from builders import at, make, rows, sessions
+from pyspark.sql import functions as F
 
 from tallywing.operators import behavior, isolation, kmeans, segments
 from tallywing.operators.stats import standardize
+from tallywing.plans.science_queries import anomaly_violations, segment_violations
+from tallywing.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +138,22 @@ def test_kmeans_with_few_or_no_points(spark):
     assert fit.cost == 0 and sorted(set(fit.centres[:, 0])) == [0.0, 1.0]
     with pytest.raises(ValueError):
         kmeans.fit_kmeans(df.limit(0), ["a"], k=2)
+
+
+def test_invariants_see_wrong_results(spark, crowd):
+    clusters = segments.cluster_users(crowd, restarts=3)
+    (right,) = rows(segment_violations(clusters))
+    assert (right["users"], right["labels"]) == (61, 4)
+    assert (right["nearer_elsewhere"], right["wrong_distance"], right["out_of_order"]) == (0, 0, 0)
+    odd = F.col("user_email") == "odd"
+    (moved,) = rows(segment_violations(clusters.withColumn("cluster", F.when(odd, 3).otherwise(F.col("cluster")))))
+    assert moved["nearer_elsewhere"] > 0 and moved["wrong_distance"] > 0
+    (turned,) = rows(segment_violations(clusters.withColumn("cluster", 3 - F.col("cluster"))))
+    assert turned["out_of_order"] == 61
+    found = materialize(isolation.detect_user_anomalies(crowd, trees=30), "found")
+    clean = {"users": 61, "flagged_above_kept": 0, "wrong_severity": 0, "wrong_label": 0, "wrong_number": 0}
+    assert rows(anomaly_violations(found)) == [clean]
+    (none,) = rows(anomaly_violations(found.withColumn("is_anomaly", F.lit(False))))
+    assert none["wrong_label"] > 0 and none["wrong_number"] == 1
+    (graded,) = rows(anomaly_violations(found.withColumn("anomaly_severity", F.lit("Low"))))
+    assert graded["wrong_severity"] > 0
