@@ -36,6 +36,19 @@ def session_facts(api_requests: DataFrame, user_prompts: DataFrame,
             .unionByName(facts(tool_events, decisions=decided)))
 
 
+def event_facts(events: DataFrame) -> DataFrame:
+    """``session_facts`` of one frame of events with their ``kind``, in a single scan."""
+    def one(*kinds: str) -> Column:
+        return F.when(F.col("kind").isin(*kinds), F.lit(1)).otherwise(0).cast("bigint")
+
+    kinds = {"turns": "user_prompt", "calls": "api_request", "decisions": "tool_decision"}
+    return events.where(F.col("kind").isin(*kinds.values(), "tool_result")).select(
+        "session_id", "user_email", F.col("timestamp").alias("ts"),
+        *[one(kind).alias(name) for name, kind in kinds.items()],
+        F.when(F.col("kind") == "api_request", F.col("cost_usd")).alias("cost"),
+        F.when(F.col("kind") == "api_request", F.col("total_tokens")).otherwise(0).alias("tokens"))
+
+
 def fold_facts(facts: DataFrame, *extra: Column | str) -> DataFrame:
     """Facts summed per (session, email) and ``extra`` keys, with first and last instant."""
     return facts.groupBy("session_id", "user_email", *extra).agg(

@@ -16,7 +16,7 @@ from tallywing.plans import fixtures
 from tallywing.plans.quality_queries import REPORT
 from tallywing.plans.registry import Catalogue, Inputs, R, S
 from tallywing.session import work_dir
-from tallywing.sources import directory, envelopes, increments, warehouse
+from tallywing.sources import by_session, directory, envelopes, increments, warehouse
 from tallywing.streaming import ingest, late, live
 
 CASES = Catalogue()
@@ -188,6 +188,24 @@ CASES.add("load_warehouse", lambda i: stack(
     df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
     for name, df in _load(i).items()), _TABLE_COUNTS)
 CASES.add("quality_report_loaded", _report_after_load, REPORT)
+
+
+@cache
+def _by_session(spark: SparkSession, sf_dir: str) -> str:
+    """A loaded warehouse that is stored by session too."""
+    i = Inputs(spark, sf_dir)
+    root, logs = work_dir(spark, "by-session"), work_dir(spark, "logs")
+    _lines(i).write.text(logs)
+    warehouse.load_warehouse(spark, logs, _employee_csv(i), root)
+    by_session.store_by_session(spark, root)
+    return root
+
+
+CASES.add("sessions_by_bucket", lambda i: by_session.open_by_session(i.spark, _by_session(i.spark, i.sf_dir)).sessions
+          .withColumn("total_cost_usd", F.round("total_cost_usd", 6)),
+          "SELECT * REPLACE (round(CAST(total_cost_usd AS double), 6) AS total_cost_usd) FROM sessions")
+CASES.add("quality_report_by_bucket", lambda i: quality.quality_report(
+    by_session.open_by_session(i.spark, _by_session(i.spark, i.sf_dir))), REPORT)
 CASES.add("scan_table", lambda i: warehouse.scan_table(i.wh, """
     SELECT model, count(*) AS calls FROM {api_requests}
     WHERE duration_ms >= :slow GROUP BY model""", {"slow": 5000}), """

@@ -37,7 +37,7 @@ def event_tables(stored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _current(spark: SparkSession, root: str) -> str | None:
+def current_folder(spark: SparkSession, root: str) -> str | None:
     """Folder of the newest finished load."""
     loads = existing(spark, f"{root}/loads")
     newest = loads.orderBy(F.desc("finished"), "folder").first() if loads is not None else None
@@ -51,7 +51,7 @@ def open_warehouse(spark: SparkSession, root: str, first_day: str | None = None,
     Given days, both included, leave events of other days out; only those days' folders are
     read. Sessions that touch the days are kept whole.
     """
-    folder = _current(spark, root)
+    folder = current_folder(spark, root)
     if folder is None:
         raise FileNotFoundError(f"no finished load under {root}")
     events, sessions = (spark.read.parquet(f"{folder}/{t}") for t in ("events", "sessions"))
@@ -70,14 +70,14 @@ def load_counters(spark: SparkSession, root: str) -> DataFrame | None:
 
     One row with the columns of ``request_counters``; none for loads made before loads counted.
     """
-    folder = _current(spark, root)
+    folder = current_folder(spark, root)
     if folder is None:
         raise FileNotFoundError(f"no finished load under {root}")
     return existing(spark, f"{folder}/counters")
 
 
 def _is_loaded(spark: SparkSession, root: str) -> bool:
-    folder = _current(spark, root)
+    folder = current_folder(spark, root)
     if folder is None:
         return False
     events = spark.read.parquet(f"{folder}/events")
