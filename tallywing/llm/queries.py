@@ -47,15 +47,25 @@ WITH turns AS (
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS size,
                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM turns),
+marked AS (SELECT *, place = 1 AND role = 'system' AS is_system FROM sized),
 summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place) - size AS begin_at,
-                  sum(size) OVER (PARTITION BY conv_id) AS total FROM sized),
-spans AS (SELECT *, begin_at // 1024 AS span, place = 1 AND role = 'system' AS is_system FROM summed),
-ended AS (SELECT *, max(begin_at + size) OVER (PARTITION BY conv_id, span) AS end_at FROM spans),
-later AS (SELECT conv_id, count(DISTINCT span) FILTER (WHERE span > 0) AS n FROM spans GROUP BY conv_id),
-shown AS (SELECT e.*, 1 + CASE WHEN is_system THEN n ELSE (end_at < total AND end_at - begin_at <= 256)::int END AS times,
+                  coalesce(sum(size) FILTER (WHERE is_system) OVER (PARTITION BY conv_id), 0) AS lead FROM marked),
+widths AS (SELECT *, greatest(1024 - 256 - lead, 1) AS width FROM summed),
+cells AS (SELECT *, CASE WHEN is_system THEN 0 ELSE (begin_at - lead) // width END AS cell FROM widths),
+full_cells AS (SELECT conv_id, cell, max(place) AS last_place FROM cells WHERE NOT is_system
+               GROUP BY conv_id, cell, width HAVING sum(size) > width AND count(*) > 1),
+parts AS (SELECT c.*, 2 * c.cell + (f.last_place IS NOT NULL)::int AS part
+          FROM cells c LEFT JOIN full_cells f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.cell = c.cell AND f.last_place = c.place),
+windows AS (SELECT conv_id, part, max(begin_at + size) AS end_at, coalesce(sum(size) FILTER (WHERE NOT is_system), 0) AS own
+            FROM parts GROUP BY conv_id, part),
+followed AS (SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY part) AS next_own,
+                    count(*) OVER (PARTITION BY conv_id) - 1 AS n FROM windows),
+shown AS (SELECT p.*, 1 + CASE WHEN is_system THEN n
+                               ELSE (next_own IS NOT NULL AND end_at - begin_at <= 256
+                                     AND p.lead + end_at - begin_at + next_own <= 1024)::int END AS times,
                  length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))
                  + len(regexp_extract_all(text, '[<\[]\\*(\|im_start\|>|\|im_end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)')) AS chars
-          FROM ended e JOIN later l ON l.conv_id IS NOT DISTINCT FROM e.conv_id),
+          FROM parts p JOIN followed f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.part = p.part),
 told AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS all_text,
                 coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS learnt,
                 CAST(sum(times * chars) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id)

@@ -295,3 +295,52 @@ def test_windows_read_back(spark):
             assert (w.n_repeated == 0) == (w.window == first[w.conv_id])
     assert max(sum(1 for w in shown if w.conv_id == c) for c in range(1, 6)) > 3
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+def plain_windows(turns, budget, history):
+    """(own places, repeated places) of a conversation's windows; ``turns`` are (role, size) in order."""
+    lead = turns[0][1] if turns[0][0] == "system" else 0
+    body = list(range(1 if lead else 0, len(turns)))
+    width, begin, cells = max(budget - history - lead, 1), 0, {}
+    for k in body:
+        cells.setdefault(begin // width, []).append(k)
+        begin += turns[k][1]
+    own = []
+    for _, group in sorted(cells.items()):
+        fits = len(group) == 1 or sum(turns[k][1] for k in group) <= width
+        own += [group] if fits else [group[:-1], group[-1:]]
+    out = []
+    for n, group in enumerate(own):
+        room, again = min(history, budget - lead - sum(turns[k][1] for k in group)), []
+        for k in reversed(own[n - 1] if n else []):
+            room -= turns[k][1]
+            if room < 0:
+                break
+            again.insert(0, k)
+        out.append((group, again))
+    return out
+
+
+@pytest.mark.parametrize("budget,history", [(60, 20), (40, 0), (100, 50)])
+def test_windows_keep_to_the_budget(spark, budget, history):
+    rng = random.Random(budget)
+    rows, sizes = [], {}
+    for conv in range(30):
+        lead = {0: 0, 1: 8, 2: budget - 10, 3: budget + 20}[conv % 4]
+        turns = [("system", lead)] * bool(lead) + [
+            (("user", "assistant")[k % 2], rng.choice((4, 7, 9, 15, 30, budget, 2 * budget))) for k in range(rng.randrange(1, 60))]
+        sizes[conv] = turns
+        rows += [(conv, t, role, f"{conv}.{t}", size - chat.TURN_TOKENS) for t, (role, size) in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, counted bigint")
+    got = chat.format_conversations(frame, budget, history, tokens=F.col("counted")).collect()
+    for conv, turns in sizes.items():
+        windows = sorted((w for w in got if w.conv_id == conv), key=lambda w: w.window)
+        lead = turns[0][1] if turns[0][0] == "system" else 0
+        wanted = plain_windows(turns, budget, history)
+        assert len(windows) == len(wanted)
+        for n, (w, (own, again)) in enumerate(zip(windows, wanted)):
+            shown = [int(x.split(".")[1]) for x in re.findall(r"\d+\.\d+", w.text)]
+            assert shown == [0] * bool(lead) + again + own
+            assert w.n_repeated == len(again) + (lead > 0 and n > 0)
+            assert w.n_tokens == sum(turns[k][1] for k in shown)
+            assert w.n_tokens <= budget or (len(own) == 1 and not again)
