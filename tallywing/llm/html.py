@@ -16,16 +16,18 @@ text, no such mark counts.
 Null html and pages without text give an empty string. A null URL, or one without a host,
 belongs to one nameless host. Repeated rows are pages of their own that vote each. Unclosed
 and crossed tags are repaired as far as paragraphs, list items and table cells go; a tag that
-the page's end cuts off is dropped. An empty table gives an empty result; further columns are
+the page's end cuts off is dropped. Work and memory are linear in a page however deep its tags
+nest; a path beyond ``PATH_CHARS`` is stood for by its digest, the same on pages of one template. An empty table gives an empty result; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywing.llm.urls import host_of
 
-PATHS_KEPT = 5
+PATHS_KEPT, PATH_CHARS = 5, 1000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -66,8 +68,19 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
          "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
          "option": frozenset(["option"])}
+#: The elements that one ends, by its tag.
+_ENDED_BY = {tag: [name for name, tags in _ENDS.items() if tag in tags] for tag in _BLOCK}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",)}
 
+#: The elements beyond which a new one does not look for one to end.
+_BOUNDS = {tag: {*_SCOPE.get(tag, ()), *(() if tag in ("td", "th", "tr") else _CONTAINER)} for tag in _BLOCK}
+
+
+def _path(parent: str, step: str) -> str:
+    """The path of a container below ``parent``; one beyond ``PATH_CHARS`` is stood for by a digest."""
+    path = f"{parent.rstrip('/')}/{step}"
+    return path if len(path) <= PATH_CHARS else "/#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
 
 @dataclass
 class Page:
@@ -145,6 +158,9 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Page, list[Mark]]:
     page = Page(["/"], [0], [0], [0.0])
     # Open elements: tag, container, whether aside, whether in a link, marked element (-1: aside whatever the marks).
     stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+    # Where in the stack the elements of each name are, and where the blocks.
+    open_at: dict[str, list[int]] = defaultdict(list)
+    blocks_at: list[int] = []
     pending: list[str] = []
     linked = 0
 
@@ -173,8 +189,15 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Page, list[Mark]]:
     def close_to(depth: int) -> None:
         if any(s[0] in _BLOCK or s[2] != stack[depth - 1][2] or s[4] != stack[depth - 1][4] for s in stack[depth:]):
             flush()
+        for name, *_ in reversed(stack[depth:]):
+            open_at[name].pop()
+            if name in _BLOCK:
+                blocks_at.pop()
         del stack[depth:]
 
+    def last(names: Iterable[str]) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
     at = 0
     for token in _TOKEN.finditer(source):
         say(source[at:token.start()])
@@ -184,22 +207,16 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Page, list[Mark]]:
             continue
         tag = tag.lower()
         if token["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
-                if tag not in _BLOCK and stack[depth][0] in _BLOCK:
-                    break
+            depth = last([tag])
+            # The end of an inline element does not reach out of a block.
+            if depth and (tag in _BLOCK or not blocks_at or blocks_at[-1] < depth):
+                close_to(depth)
             continue
         if tag in _BLOCK:
             flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if tag in _ENDS.get(name, ()):
-                    close_to(depth)
-                    break
-                if name in _SCOPE.get(tag, ()) or (name in _CONTAINER and tag not in ("td", "th", "tr")):
-                    break
+            depth = last(_ENDED_BY[tag])
+            if depth and depth >= last(_BOUNDS[tag]):
+                close_to(depth)
         elif tag in ("br", "wbr"):
             if tag == "br":
                 pending.append(" ")
@@ -222,12 +239,15 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Page, list[Mark]]:
         if tag == "h1" and within >= 0:
             marks[within].heads += 1
         if tag in _CONTAINER and not away:
-            page.paths.append(f"{page.paths[container].rstrip('/')}/{tag}" + (f".{kind}" if kind else ""))
+            page.paths.append(_path(page.paths[container], tag + (f".{kind}" if kind else "")))
             page.parents.append(container)
             page.depth.append(page.depth[container] + 1)
             page.worth.append(0.0)
             container = len(page.paths) - 1
         if not token["rest"].endswith("/") or tag not in ("svg", "path"):
+            open_at[tag].append(len(stack))
+            if tag in _BLOCK:
+                blocks_at.append(len(stack))
             stack.append((tag, container, away, link or tag == "a", within))
     say(source[at:])
     flush()

@@ -5,6 +5,10 @@ fitting rule decides. Pages are aliases of what they redirect to (meta refresh)
 canonical address. Connected components over those links carry a block to every alias that
 no rule fits; a URL with an allow rule of its own stays allowed whatever its aliases are.
 
+A link's address is decoded and resolved as a browser does: against the page's ``<base>`` if it
+has one, with ``.`` and ``..`` steps taken. As nodes, URLs are compared without them, with an
+empty path as ``/``; rules see a page's URL as it is written.
+
 Null URLs, and those without ``://``, have an empty host and path, no rule and no alias.
 Null html has no links. Repeated rows each get their verdict. Rules are matched once per
 distinct host and path. Empty tables give an empty result; further columns are ignored.
@@ -12,6 +16,12 @@ distinct host and path. Empty tables give an empty result; further columns are i
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from html import unescape
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywing.llm.components import connected_components
@@ -19,7 +29,13 @@ from tallywing.session import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^(.*?://)([^/?#]*)([^?#]*)([^#]*)"
-_TAGS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<(?:link|meta)\s[^>]*>"
+_TAGS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<(?:link|meta|base)\s[^>]*+(?:>|\z)"
+#: A name begins where a space, quote or slash ends, so that a long run is read once.
+_ATTRIBUTE = re.compile(r"""(?<=[\s"'/])([^\s"'>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)""")
+#: References without their semicolon are left: in attributes they are mostly parameters.
+_REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+_MOVED = re.compile(r"""[\d.\s]*+[;,]\s*(?:url\s*=\s*)?["']?([^"']*)""", re.I)
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 
 def host_of(url: Column) -> Column:
@@ -30,42 +46,78 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _SPLIT, 3), F.lit(""))
 
 
-def node_of(url: Column) -> Column:
-    """A URL as a graph node: scheme and host in lower case, no fragment; null without ``://``."""
-    scheme = F.translate(F.regexp_extract(url, _SPLIT, 1), _UPPER, _LOWER)
-    return F.when(url.rlike(_SPLIT), F.concat(scheme, host_of(url), path_of(url), F.regexp_extract(url, _SPLIT, 4)))
-
+def _steps_taken(path: Column) -> Column:
+    """``path`` without ``.`` and ``..`` steps; ``/`` if it is empty."""
+    steps = F.split(path, "/")
+    # The first step is the empty one before the slash; nothing leads above it.
+    taken = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done)
+                        .when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+                        .otherwise(F.concat(done, F.array(x))))
+    ending = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path == "", "/").when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(taken, "/"), ending)).otherwise(path)
 
-def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
-    plain = F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
-    return F.replace(plain, F.lit("&amp;"), F.lit("&"))
 
-
-def _resolved(target: Column, url: Column) -> Column:
-    scheme, host = F.regexp_extract(url, _SPLIT, 1), F.regexp_extract(url, _SPLIT, 2)
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
-    return (F.when(target == "", None)
-            .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), target)
-            .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
-            .when(target.startswith("/"), F.concat(scheme, host, target))
-            .when(target.startswith("?"), F.concat(scheme, host, path_of(url), target))
-            .when(target.startswith("#"), url)
-            .otherwise(F.concat(scheme, host, F.when(folder == "", F.lit("/")).otherwise(folder), target)))
+def node_of(url: Column) -> Column:
+    """A URL as a graph node: scheme and host in lower case, plain path, no fragment; null without ``://``."""
+    scheme = F.translate(F.regexp_extract(url, _SPLIT, 1), _UPPER, _LOWER)
+    return F.when(url.rlike(_SPLIT), F.concat(scheme, host_of(url), _steps_taken(path_of(url)), F.regexp_extract(url, _SPLIT, 4)))
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, the first of equal ones, with references decoded."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(tag):
+        plain = value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] else value
+        found.setdefault(name.lower(), _REFERENCE.sub(lambda m: unescape(m[0]), plain).strip())
+    return found
+
+
+def resolved(target: str, url: str) -> str | None:
+    """The address ``target`` in a page at ``url``; none if it is empty or no address."""
+    scheme, mark, rest = url.partition("://")
+    if not target or not mark:
+        return None
+    if _ABSOLUTE.match(target):
+        return target
+    try:  # any scheme with a host is resolved like a web address
+        return scheme + urljoin(f"http://{rest}", target)[len("http"):]
+    except ValueError:  # brackets in a host that hold no address
+        return None
+
+
+def _links_of(url: str, tags: Iterable[str]) -> Iterator[str]:
+    """Targets of a page's canonical links and redirects."""
+    base, targets = None, []
+    for tag in tags:
+        values = _attributes(tag)
+        kind = tag[1:5].lower()
+        if kind == "base":
+            base = base or values.get("href")
+        elif kind == "link" and "canonical" in values.get("rel", "").lower().split():
+            targets.append(values.get("href", ""))
+        elif kind == "meta" and values.get("http-equiv", "").lower() == "refresh":
+            moved = _MOVED.match(values.get("content", ""))
+            targets.append(moved[1].strip() if moved else "")
+    page = (resolved(base, url) if base else None) or url
+    return (t for t in (resolved(target, page) for target in targets) if t)
+
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [(url, target) for url, tags in zip(batch["url"], batch["tags"]) for target in _links_of(url, tags)]
+        yield pd.DataFrame(found, columns=["source", "target"], dtype=object)
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """source and target node of every canonical link and redirect in ``pages`` (url, html)."""
-    url = F.col("url").cast("string")
-    tags = pages.select(url.alias("url"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(_TAGS), F.lit(0))).alias("tag")) \
-        .filter(F.col("tag").rlike(r"(?i)^<(?:link|meta)\s"))
-    tag = F.col("tag")
-    canonical = F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
-    refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
-    moved = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^[\d.\s]*[;,]\s*(?:url\s*=\s*)?["']?([^"']*)""", 1)
-    found = tags.select(F.col("url"), F.when(tag.rlike("(?i)^<link") & canonical, _attribute(tag, "href"))
-                        .when(tag.rlike("(?i)^<meta") & refresh, F.trim(moved)).alias("target")).filter("target is not null")
-    return found.select(node_of(F.col("url")).alias("source"), node_of(_resolved(F.col("target"), F.col("url"))).alias("target")) \
+    """source and target node of every canonical link and redirect in ``pages`` (url, html).
+
+    Only the tags of pages that have some go to Python."""
+    tags = F.regexp_extract_all(F.col("html").cast("string"), F.lit(_TAGS), F.lit(0))
+    known = F.filter(tags, lambda t: t.rlike(r"(?i)^<(?:link|meta|base)\s") & t.endswith(">"))
+    wanted = pages.select(F.col("url").cast("string").alias("url"), known.alias("tags")) \
+        .filter(F.col("url").isNotNull() & F.exists("tags", lambda t: t.rlike("(?i)canonical|refresh|&")))
+    return wanted.mapInPandas(_links, "source string, target string") \
+        .select(node_of(F.col("source")).alias("source"), node_of(F.col("target")).alias("target")) \
         .filter("source is not null and target is not null and source <> target").distinct()
 
 
