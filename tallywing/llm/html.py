@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywing.llm.urls import host_of
+from tallywing.session import materialize
 
 PATHS_KEPT, PATH_CHARS = 5, 1000
 
@@ -299,7 +300,9 @@ def host_paths(pages: DataFrame, kept: int = PATHS_KEPT) -> DataFrame:
 
 
 def main_text(pages: DataFrame, kept: int = PATHS_KEPT) -> DataFrame:
-    """page_id, url, text, n_chars (code points) and the path used, per row of ``pages``."""
+    """page_id, url, text, n_chars (code points) and the path used, per row of ``pages``.
+
+    The host's paths are stored when this is called."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [extract(parse(source or ""), [] if paths is None else list(paths))
@@ -310,5 +313,8 @@ def main_text(pages: DataFrame, kept: int = PATHS_KEPT) -> DataFrame:
 
     named = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")) \
         .withColumn("host", host_of(F.col("url")))
-    return named.join(host_paths(pages, kept), "host", "left").mapInPandas(
+    # Stored, the paths have a known size: they are sent to the pages while that is small; beyond,
+    # a host with very many pages is split by adaptive execution.
+    paths = materialize(host_paths(pages, kept), "host-paths")
+    return named.join(paths, "host", "left").mapInPandas(
         rows, "page_id bigint, url string, text string, n_chars bigint, path string")
