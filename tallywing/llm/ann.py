@@ -8,13 +8,15 @@ pivot moved), and measures the best ``SHARE`` of the block, ``LEAST_RANKED`` at
 original vectors. Each block hands on its nearest for each query; the nearest of those remain.
 
 Blocks of queries meet blocks of the index, so no group grows with the data. Equal vectors
-are indexed once, with as many of their smallest ids as an answer can need. The pivots are
-at most ``PIVOTS`` vectors, those with the least hash; every vector is indexed. The share, not
+are indexed once, with as many of their smallest ids as an answer can need. Each of
+the ``LENGTHS`` commonest vector lengths has pivots of its own, at most ``PIVOTS`` of its vectors, those
+with the least hash; every vector is indexed. The share, not
 a number, is what keeps recall at any size: among vectors without structure a number would
 lose more neighbours the more vectors there are.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-rows with a null id; vectors of another length are searched among themselves. Rows with equal
+rows with a null id; vectors of another length are searched among themselves, all of them exactly where
+their length has no pivots. Rows with equal
 id and vector count once. Ties go to the smaller id. Empty tables give an empty result.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywing.session import materialize
 
-PIVOTS, POSTED, SHARE, LEAST_RANKED = 256, 24, 0.1, 250
+PIVOTS, LENGTHS, POSTED, SHARE, LEAST_RANKED = 256, 16, 24, 0.1, 250
 BLOCK, QUERY_BLOCK = 16_384, 2_048
 
 
@@ -59,11 +61,13 @@ class InvertedFiles:
         self._posted = posted
 
     def ranked(self, order: np.ndarray, number: int) -> np.ndarray:
-        """Up to ``number`` posted vectors by footrule distance; all if nothing is posted."""
+        """Up to ``number`` posted vectors by footrule distance; every vector if there are no pivots."""
+        if not self.places.shape[1]:
+            return np.arange(len(self.places))
         seen = np.zeros(len(self.places), bool)
         for pivot in np.flatnonzero(order < self._posted):
             seen[self._rows[self._starts[pivot]:self._starts[pivot + 1]]] = True
-        found = np.flatnonzero(seen) if self.places.shape[1] else np.arange(len(self.places))
+        found = np.flatnonzero(seen)
         if len(found) <= number:
             return found
         rule = np.abs(self.places[found] - order.astype(np.int16)).sum(axis=1, dtype=np.int32)
@@ -98,7 +102,14 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, share: float =
     few = single.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     vectors = materialize(few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
                           .select(F.col("ids")[0].alias("first_id"), "ids", "vector"), "vectors")
-    chosen = vectors.orderBy(F.xxhash64("vector"), "first_id").limit(min(pivots, 256)).select("vector").collect()
+    if not 0 < pivots <= 256:
+        raise ValueError(f"an order has 1 to 256 pivots, not {pivots}")
+    sized = vectors.withColumn("length", F.size("vector"))
+    common = sized.groupBy("length").count().orderBy(F.desc("count"), "length").limit(LENGTHS).select("length")
+    by_hash = Window.partitionBy("length").orderBy(F.xxhash64("vector"), "first_id")
+    # Spark keeps that many rows per length before it shuffles.
+    chosen = sized.join(common, "length", "left_semi").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= pivots) \
+        .orderBy("length", "n").select("vector").collect()
     by_length: dict[int, list] = {}
     for row in chosen:
         by_length.setdefault(len(row["vector"]), []).append(row["vector"])

@@ -174,3 +174,21 @@ def test_recall(spark):
         far[ids == q] = np.inf
         hits += len(found & set(ids[np.lexsort((ids, far))[:10]].tolist()))
     assert len(got) == sum(ids % 20 == 0) and hits >= 0.95 * 10 * len(got)
+
+
+@pytest.mark.parametrize("lengths", [1, 16])
+def test_rare_lengths_lose_no_neighbour(spark, monkeypatch, lengths):
+    """A length without pivots is searched whole, a rare one with pivots of its own."""
+    monkeypatch.setattr(ann, "LENGTHS", lengths)
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(900)] + [(1000 + k, rng.normal(size=4).tolist()) for k in range(600)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") % 50 == 0, k=10).collect()
+    fine = {i: np.asarray(v) for i, v in rows}
+    hits = {4: [], 6: []}
+    for q in (i for i in fine if i % 50 == 0):
+        near = sorted((float(np.sqrt(((fine[q] - v) ** 2).sum())), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:10]
+        hits[len(fine[q])].append(len({i for _, i in near} & {r.vec_id for r in got if r.query_id == q}) / 10)
+    assert np.mean(hits[6]) >= 0.9 and np.mean(hits[4]) >= (1.0 if lengths == 1 else 0.9)
+    with pytest.raises(ValueError):
+        ann.nearest(table, F.lit(True), pivots=257)
