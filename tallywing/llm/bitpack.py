@@ -9,7 +9,7 @@ Parquet carries the blocks because its writer commits whole tasks on any shared
 lost executors leave no torn files, and its statistics let a reader skip blocks.
 
 Null text counts as empty and leaves the end id alone; a null ``doc_id`` sorts first;
-repeated rows are documents of their own, ties sort by text; an empty table gives an empty
+repeated rows are documents of their own. An id beyond the vocabulary is an error; ties sort by text; an empty table gives an empty
 folder of blocks; further columns are ignored.
 """
 
@@ -28,7 +28,8 @@ from tallywing.llm.tokens import encode_texts, lean
 _HEADER = struct.Struct("<4sBxxxIQ")
 _MAGIC = b"TWB1"
 _NO_DOC = np.iinfo(np.int64).min
-BLOCK_IDS = 1 << 18
+#: Ids of a block, and ids that are spread into bits at once.
+BLOCK_IDS, SLICE = 1 << 18, 1 << 16
 _BLOCK_TYPE = ("shard int, block int, first_doc bigint, last_doc bigint, ids_before bigint, "
                "n_docs int, n_ids bigint, data binary")
 
@@ -39,10 +40,19 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
+    """``ids`` at ``bits`` each; an id that needs more is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    one_by_one = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
-    return np.packbits(one_by_one.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    shifts = np.arange(bits, dtype=np.uint32)
+
+    def packed(part: np.ndarray) -> bytes:
+        one_by_one = (part.astype(np.uint32)[:, None] >> shifts) & 1
+        return np.packbits(one_by_one.astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+    # A slice is a multiple of eight ids, so each ends at a whole byte.
+    return b"".join(packed(ids[at:at + SLICE]) for at in range(0, len(ids), SLICE))
 
 
 def unpack_bits(data: bytes | memoryview, bits: int, start: int, count: int) -> np.ndarray:
@@ -50,11 +60,15 @@ def unpack_bits(data: bytes | memoryview, bits: int, start: int, count: int) ->
     if bits in (8, 16, 32):
         width = bits // 8
         return np.frombuffer(data, f"<u{width}", count, start * width).astype(np.uint32)
-    first, last = start * bits // 8, -(-(start + count) * bits // 8)
-    raw = np.unpackbits(np.frombuffer(data, np.uint8, last - first, first), bitorder="little")
-    skip = start * bits - first * 8
-    table = raw[skip:skip + count * bits].reshape(count, bits).astype(np.uint32)
-    return table @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    out = np.empty(count, np.uint32)
+    weights = np.uint32(1) << np.arange(bits, dtype=np.uint32)
+    for at in range(0, count, SLICE):
+        begin, n = start + at, min(SLICE, count - at)
+        first, last = begin * bits // 8, -(-(begin + n) * bits // 8)
+        raw = np.unpackbits(np.frombuffer(data, np.uint8, last - first, first), bitorder="little")
+        skip = begin * bits - first * 8
+        out[at:at + n] = raw[skip:skip + n * bits].reshape(n, bits).astype(np.uint32) @ weights
+    return out
 
 
 def make_block(docs: list[int], ids: list[np.ndarray], bits: int) -> bytes:

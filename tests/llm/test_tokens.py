@@ -56,6 +56,31 @@ def test_bits_round_trip(bits, values, data):
     assert list(bitpack.unpack_bits(packed, bits, start, count)) == list(ids[start:start + count])
 
 
+@pytest.mark.parametrize("bits", [1, 7, 13, 17, 31])
+def test_packing_in_slices(monkeypatch, bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003).astype(np.uint32)
+    whole = bitpack.pack_bits(ids, bits)
+    monkeypatch.setattr(bitpack, "SLICE", 64)
+    assert bitpack.pack_bits(ids, bits) == whole
+    for start, count in ((0, 1003), (5, 900), (63, 130), (1000, 3), (1003, 0)):
+        assert list(bitpack.unpack_bits(whole, bits, start, count)) == list(ids[start:start + count])
+    for width in (bits, 8, 16):
+        with pytest.raises(ValueError):
+            bitpack.pack_bits(np.asarray([1 << width], np.uint32), width)
+
+
+def test_vocabulary_that_is_no_whole_bytes(spark, make_docs):
+    """17 bits an id; a vocabulary too small for the ids is refused."""
+    path = work_dir(spark, "blocks")
+    rows = [(k, f"text {k} with words") for k in range(30)]
+    bitpack.write_tokens(make_docs(rows), path, BYTE, 2, 100_000, block_ids=40)
+    assert bitpack.Block(bytes(spark.read.parquet(path).first()["data"])).bits == 17
+    got = bitpack.read_tokens(spark, path, with_ids=True).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in got] == [ids + [2] for ids in library(BYTE, [t for _, t in rows])]
+    with pytest.raises(Exception, match="does not fit"):
+        bitpack.write_tokens(make_docs(rows), work_dir(spark, "blocks"), BYTE, 2, 16)
+
+
 def test_token_blocks(spark, make_docs):
     rows = [(k * 7 % 101, f"text {k} with words") for k in range(101)] + [(500, None), (501, ""), (None, "no id"), (3, "again")]
     path = work_dir(spark, "blocks")
