@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywing.operators.sessions import session_facts
 from tallywing.sources import envelopes, warehouse
-from tallywing.streaming import ingest, live
+from tallywing.streaming import ingest, late, live
 
 
 def lines_of(wh):
@@ -84,3 +84,22 @@ def test_sessions_over_batches_and_midnight(spark, batches, tmp_path):
         live.sessions_from_fragments(spark.read.parquet(out)))}
     assert got["s1"]["num_api_calls"] == 2 and got["s1"]["duration_min"] == 20.0
     assert got["s1"]["start_time"] == start and got["s2"]["num_api_calls"] == 1
+
+
+def test_late_split_stores_files_per_day_not_per_reading_task(spark, tmp_path):
+    rows_in, out, state = (str(tmp_path / n) for n in ("rows", "out", "state"))
+    start = at("2024-01-01 10:00:00")
+    requests = table(spark, "api_requests", [{"timestamp": start + timedelta(hours=8 * k)} for k in range(24)])
+    requests.repartition(8).write.parquet(rows_in)
+    with_parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # one task per file
+    try:
+        stream = spark.readStream.schema(requests.schema).parquet(rows_in)
+        run = late.split_late(stream, "timestamp", "1 day", out, state)
+        run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_parts)
+    stored = spark.read.parquet(out)
+    days = stored.select(late.DAY).distinct().count()
+    assert stored.select(F.input_file_name()).distinct().count() == days == 9
+    assert late.arrivals(run) == (24, 0) and stored.count() == 24
