@@ -143,3 +143,21 @@ def test_gap_sessions_end_after_more_than_the_gap(spark):
     got = {(r["user_email"], str(r["start_time"])[11:19]): (r["num_api_calls"], r["duration_min"]) for r in rows(gap_sessions(facts_of(wh)))}
     assert got == {("a@x", "10:00:00"): (3, 50.0), ("a@x", "11:20:00"): (1, 0.0), ("a@x", "13:00:00"): (1, 0.0),
                    ("b@x", "10:30:00"): (1, 0.0), (None, "10:00:00"): (1, 0.0)}
+
+
+def test_grown_warehouse_packs_once_into_compressed_logs(spark, monkeypatch):
+    from tallywing.plans import ingest_queries
+
+    stored, logs = [], set()
+
+    def keep(df, name, kept=ingest_queries.materialize):
+        stored.append(name)
+        return kept(df, name)
+
+    def load(spark, events_path, *_):
+        logs.update(name.rsplit(".", 1)[-1] for _, _, names in os.walk(events_path) for name in names if name.startswith("part"))
+
+    monkeypatch.setattr(ingest_queries, "materialize", keep)
+    monkeypatch.setattr(increments, "load_increment", load)
+    ingest_queries._grown.__wrapped__(spark, "/root/testdata/sf0.001")
+    assert stored == ["packed"] and logs == {"gz"}

@@ -265,3 +265,24 @@ def test_a_session_in_another_zone_is_refused(spark, tmp_path):
             warehouse.load_warehouse(spark, str(tmp_path), str(tmp_path), str(tmp_path / "root"))
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_packing_keeps_its_partitions(spark, derived):
+    packed = envelopes.pack_envelopes(envelopes.event_messages(derived), slot_seconds=3600)
+    assert packed.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_routed_tables_are_parsed_once(spark):
+    events = parsed(spark, message("api_request"), message("tool_result"), message("user_prompt"))
+    for df in envelopes.route_events(events).values():
+        assert "from_json" not in df._jdf.queryExecution().toString()
+
+
+def test_corrupt_records_read_lines_once(spark):
+    lines = spark.createDataFrame([
+        ("{no",), (" ",), (None,), ("{}",), ('{"logEvents": []}',), ('{"logEvents": [null]}',),
+        (json.dumps({"logEvents": [{"id": "1", "message": "oops{"}, {"id": "2"}, {"id": "3", "message": "{}"}]}),)],
+        "value string")
+    found = envelopes.corrupt_records(lines)
+    assert sorted((r["level"], r["text"]) for r in found.collect()) == [("envelope", "{no"), ("message", "oops{")]
+    assert "Union" not in found._jdf.queryExecution().toString()
