@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from builders import at, make, rows, sessions
+from pyspark.sql import functions as F
 
 from tallywing.functions.special import f_tail, incomplete_beta
 from tallywing.operators import stats
@@ -124,3 +125,16 @@ def test_groups_of_null_keys_keep_their_rows(spark):
     assert sorted(r["v_n"] for r in stats.minmax_normalize(df, ["v"], ["k"]).collect()) == [0, 0, 1, 1]
     assert sorted(r["v_n"] for r in stats.max_normalize(df, ["v"], ["k"]).collect())[-2:] == [1, 1]
     assert {r["k"]: r["n"] for r in stats.box_stats(df, "v", ["k"]).collect()} == {"a": 2, None: 2}
+
+
+def test_box_stats_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(40).select(F.lit("a").alias("g"), F.udf(count, "double")(F.col("id").cast("double")).alias("v"))
+    row = stats.box_stats(df.where("v >= 0"), "v", ["g"]).first()
+    assert (row["n"], row["median"], row["outliers"]) == (40, 19.5, 0)
+    assert seen.value <= 80  # the filter may run the function once more
